@@ -14,10 +14,20 @@ def hour_of(ts: Column) -> Column:
     return trunc_ts("hour", ts)
 
 
+def settled(col: Column | str, digits: int) -> Column:
+    """Round half up after dropping the noise below 1e-9.
+
+    Sums of doubles arrive in any order; without this, a value on a rounding edge
+    would depend on how the data was partitioned.
+    """
+    value = F.col(col) if isinstance(col, str) else col
+    return F.round(F.round(value.cast("double"), 9), digits)
+
+
 def pct(part: Column, whole: Column, digits: int) -> Column:
     """``100 * part / whole`` in double, null when the whole is zero or null."""
     ratio = F.try_divide(F.lit(100.0) * part.cast("double"), whole.cast("double"))
-    return F.round(ratio, digits)
+    return settled(ratio, digits)
 
 
 def count_when(cond: Column) -> Column:

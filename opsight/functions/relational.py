@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsight.functions.columns import settled
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the greatest ``order`` columns, nulls last.
@@ -22,7 +24,7 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 def share_of_total(df: DataFrame, value: str, out: str, by: Sequence[str] = (), digits: int = 1) -> DataFrame:
     """Percentage of the group total. Only for inputs already aggregated to few rows."""
     total = F.sum(value).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    share = F.round(100.0 * F.col(value).cast("double") / total.cast("double"), digits)
+    share = settled(100.0 * F.col(value).cast("double") / total.cast("double"), digits)
     return df.withColumn(out, share)
 
 
@@ -124,7 +126,7 @@ def exact_percentiles(
         F.sum("_c").alias("_n"), F.percentile_approx("_v", cuts, 1000).alias("_cuts")
     )
     placed = (
-        _null_safe_join(counts, heads, group)
+        null_safe_join(counts, heads, group)
         .withColumn("_b", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))))
         .drop("_cuts")
     )
@@ -151,7 +153,7 @@ def exact_percentiles(
     )
     inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        _null_safe_join(placed, targets, [*group, "_b"])
+        null_safe_join(placed, targets, [*group, "_b"])
         .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .withColumn("_r", F.explode("_rs"))
@@ -167,12 +169,11 @@ def exact_percentiles(
     return found.groupBy(*keys).agg(*picks)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet each other; keys are taken from the left."""
     cond = None
     for key in keys:
-        part = left[key].eqNullSafe(right[key])
+        part = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
         cond = part if cond is None else cond & part
-    return left.join(right, cond, how).select(left["*"], *[right[c] for c in right.columns if c not in keys])
-
-
-null_safe_join = _null_safe_join
+    extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), cond, how).select("l.*", *extra)
