@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opsight.functions.columns import settled
 from opsight.sources.logical import LOGICAL
 from opsight.sources.tables import Tables, used_tables
 from opsight.windows import Lookback
@@ -52,3 +53,17 @@ def oracle(logical: str, *steps: str) -> str:
     ctes = [logical_cte(n) for n in logical.split()] + list(steps[:-1])
     head = "with " + ",\n".join(ctes) + "\n" if ctes else ""
     return settle_rounds(head + steps[-1])
+
+
+def round_raw(queries: dict[str, Query], oracles: dict[str, str], columns: dict[str, str]) -> None:
+    """Compare unrounded double columns at six decimals on both sides."""
+
+    def wrap(inner: Query, names: list[str]) -> Query:
+        return lambda spark, folder: inner(spark, folder).withColumns({n: settled(n, 6) for n in names})
+
+    for name, text in columns.items():
+        names = text.split()
+        queries[name] = wrap(queries[name], names)
+        if name in oracles:
+            shown = settle_rounds(", ".join(f"round({n}, 6) as {n}" for n in names))
+            oracles[name] = f"select * replace ({shown}) from ({oracles[name]}) q"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from opsight.operators import cost as c
-from opsight.plans.common import AS_OF, MIDNIGHT, Inputs, oracle, query
+from opsight.plans.common import AS_OF, MIDNIGHT, Inputs, oracle, query, round_raw
 from opsight.sources import platform as p
 
 DAYS = 20
@@ -250,3 +250,13 @@ from mine m join total t on m.warehouse_id = t.warehouse_id left join bill b on
 where t.wh_ms > 0""",
     ),
 }
+
+round_raw(
+    QUERIES,
+    ORACLE,
+    {
+        "warehouse_billing": "dbus cost_usd",
+        "rollup_wh_hourly": "dbus",
+        "rollup_priced": "dbus",
+    },
+)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsight.plans import cost, failures
+from opsight.plans import cost, failures, serving, utilization
 
-GROUPS = [failures, cost]
+GROUPS = [failures, cost, utilization, serving]
 
 
 def all_queries() -> dict:

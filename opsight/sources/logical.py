@@ -77,9 +77,9 @@ from {events}
     "fx_clusters": """
 select cast(o_custkey % 5 as string) as workspace_id, concat('cl_', cast(o_custkey % 22 as string)) as cluster_id, concat('cluster ', cast(o_custkey % 22 as string)) as cluster_name,
   concat('owner_', cast(o_custkey % 4 as string)) as owned_by, split_part('UI,API,JOB', ',', cast(1 + o_custkey % 3 as int)) as cluster_source,
-  concat('type_', cast(o_orderkey % 4 as string)) as worker_node_type, case when o_custkey % 2 = 0 then 1 + o_orderkey % 9 else null end as worker_count,
+  concat('type_', cast(o_orderkey % 3 as string)) as driver_node_type, concat('type_', cast(o_orderkey % 4 as string)) as worker_node_type, case when o_custkey % 2 = 0 then 1 + o_orderkey % 9 else null end as worker_count,
   case when o_custkey % 2 = 1 then 1 + o_orderkey % 2 else null end as min_autoscale_workers, case when o_custkey % 2 = 1 then 2 + o_orderkey % 6 else null end as max_autoscale_workers,
-  case when o_orderkey % 5 = 0 then null else 30 * (1 + o_orderkey % 6) end as auto_termination_minutes, o_orderdate as change_time, o_orderkey as o_key
+  case when o_orderkey % 5 = 0 then null else 30 * (1 + o_orderkey % 6) end as auto_termination_minutes, case when o_orderkey % 50 = 0 then o_orderdate else null end as delete_time, o_orderdate as change_time, o_orderkey as o_key
 from {orders}
 """,
     "fx_node_types": """
