@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsight.plans import cost, failures, serving, utilization
+from opsight.plans import cost, failures, maintenance, serving, utilization
 
-GROUPS = [failures, cost, utilization, serving]
+GROUPS = [failures, cost, utilization, serving, maintenance]
 
 
 def all_queries() -> dict:

@@ -141,5 +141,10 @@ select concat('r', cast(user_id % 100 as string)) as report_id, case when user_i
 """,
     "fx_updates": """
 select event_id as run_id, case when event_id % 50 = 0 then 'not json' when event_id % 51 = 0 then '' else concat('["Cat.Sch.T', cast(user_id % 30 as string), '", " cat.sch.t', cast(event_id % 30 as string), ' "]') end as updated_tables from {events}
+""",
+    "fx_dry_run": """
+select concat('t', cast(c_custkey as string)) as table_name, case when c_custkey % 7 = 0 then null else (c_custkey * 13) % 2000 end as dry_run_files,
+  case when c_custkey % 7 = 0 then 'Timeout' else null end as dry_run_error
+from {customer} where c_custkey < 40 and c_custkey % 5 <> 4
 """,
 }

@@ -103,3 +103,15 @@ def mapped_history(flat: DataFrame) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in pairs.items()])
     present = F.filter(entries, lambda e: e["value"].isNotNull())
     return flat.withColumn("operation_metrics", F.map_from_entries(present)).drop(*pairs.values())
+
+
+def table_detail(flat: DataFrame) -> DataFrame:
+    """Comma-joined column lists to arrays; times zone-free."""
+    to_list = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    return flat.withColumns(
+        {
+            "partition_columns": to_list(F.col("partition_columns")),
+            "clustering_columns": to_list(F.col("clustering_columns")),
+            "last_modified": _ntz("last_modified"),
+        }
+    )
