@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsight.plans import cost, failures, maintenance, serving, utilization
+from opsight.plans import cost, failures, maintenance, router, serving, utilization
 
-GROUPS = [failures, cost, utilization, serving, maintenance]
+GROUPS = [failures, cost, utilization, serving, maintenance, router]
 
 
 def all_queries() -> dict:

@@ -1,0 +1,116 @@
+"""A keyed parquet table that takes newest-wins upserts batch by batch.
+
+Rows are spread over hash buckets of the key; a batch rewrites only the buckets it
+touches, into a new folder, and then publishes a small manifest that names the folder
+of every bucket. Readers see the old or the new manifest, never a mixture, and a
+batch that is repeated after a failure writes the same folder again. Where a table
+format with row-level MERGE is at hand, ``MERGE`` replaces this class.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from opsight.operators.ingest import newest_wins
+
+
+class KeyedSink:
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        schema: T.StructType,
+        key: str,
+        ts: str,
+        buckets: int = 64,
+        tie: Sequence[str] = (),
+    ):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key, self.ts, self.buckets, self.tie = key, ts, buckets, tuple(tie)
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    # ---- manifests: one file per version, the highest number is current ----------------
+
+    def _manifests(self) -> list[str]:
+        folder = self._path(f"{self.path}/manifest")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(n for n in names if n.endswith(".json") and not n.startswith(("_", ".")))
+
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifest/{name}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _current(self) -> dict:
+        names = self._manifests()
+        return self._load(names[-1]) if names else {"version": 0, "folders": {}, "applied": {}}
+
+    def _publish(self, manifest: dict) -> None:
+        name = f"{manifest['version']:012d}.json"
+        draft = self._path(f"{self.path}/manifest/_{name}")
+        stream = self._fs.create(draft, True)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        if not self._fs.rename(draft, self._path(f"{self.path}/manifest/{name}")):
+            raise RuntimeError(f"another writer published {name}")
+
+    # ---- reading and writing -----------------------------------------------------------
+
+    def _rows(self, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in sorted(folders.items())]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def read(self) -> DataFrame:
+        return self._rows(self._current()["folders"])
+
+    def apply(self, batch: DataFrame, source: str, batch_id: int) -> bool:
+        """Fold a batch in; False if this batch of this source is in already."""
+        current = self._current()
+        if current["applied"].get(source, -1) >= batch_id:
+            return False
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        fresh = batch.select(*self.schema.fieldNames()).withColumn("bucket", bucket).persist()
+        try:
+            touched = [str(r[0]) for r in fresh.select("bucket").distinct().collect()]
+            old = self._rows({b: f for b, f in current["folders"].items() if b in set(touched)})
+            merged = newest_wins(
+                old.withColumn("bucket", bucket), fresh, ["bucket", self.key], self.ts, self.tie, ["bucket"]
+            )
+            folder = f"{source}-{batch_id}"
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        finally:
+            fresh.unpersist()
+        self._publish(
+            {
+                "version": current["version"] + 1,
+                "folders": {**current["folders"], **{b: folder for b in touched}},
+                "applied": {**current["applied"], source: batch_id},
+            }
+        )
+        return True
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete bucket folders that the newest ``keep`` manifests do not name."""
+        names = self._manifests()
+        used = {(f, b) for n in names[-keep:] for b, f in self._load(n)["folders"].items()}
+        for name in names[:-keep]:
+            for b, folder in self._load(name)["folders"].items():
+                if (folder, b) not in used:
+                    self._fs.delete(self._path(f"{self.path}/data/{folder}/bucket={b}"), True)
+            self._fs.delete(self._path(f"{self.path}/manifest/{name}"), False)

@@ -146,5 +146,16 @@ select event_id as run_id, case when event_id % 50 = 0 then 'not json' when even
 select concat('t', cast(c_custkey as string)) as table_name, case when c_custkey % 7 = 0 then null else (c_custkey * 13) % 2000 end as dry_run_files,
   case when c_custkey % 7 = 0 then 'Timeout' else null end as dry_run_error
 from {customer} where c_custkey < 40 and c_custkey % 5 <> 4
+""",
+    "fx_update_events": """
+select event_id as run_id, ts as observed_ts, case when event_id % 50 = 0 then 'not json' when event_id % 51 = 0 then '' else concat('["Cat.Sch.T', cast(user_id % 30 as string), '", " cat.sch.t', cast(event_id % 30 as string), ' "]') end as updated_tables
+from {events} where event_type in ('signup', 'error')
+""",
+    "fx_emissions": """
+select event_id as statement_id, event_type as status, value as amount, ts as update_time from {events}
+union all select event_id, 'corrected', value + 1, ts + interval '1' hour from {events} where event_id % 3 = 0
+union all select event_id, 'stale', value - 1, ts - interval '1' hour from {events} where event_id % 5 = 0
+union all select event_id, event_type, value, ts from {events} where event_id % 7 = 0
+union all select event_id, 'undated', value, cast(null as timestamp) from {events} where event_id % 11 = 0
 """,
 }
