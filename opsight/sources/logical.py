@@ -157,5 +157,40 @@ union all select event_id, 'corrected', value + 1, ts + interval '1' hour from {
 union all select event_id, 'stale', value - 1, ts - interval '1' hour from {events} where event_id % 5 = 0
 union all select event_id, event_type, value, ts from {events} where event_id % 7 = 0
 union all select event_id, 'undated', value, cast(null as timestamp) from {events} where event_id % 11 = 0
+""",
+    "fx_runs": """
+select run_id, concat('https://h/run/', cast(run_id as string)) as run_page_url
+from (select distinct cast(floor(event_id / 2) as bigint) as run_id from {events}) r where run_id % 9 <> 0
+""",
+    "fx_tasks": """
+select run_id, concat('task_', cast(event_id % 2 as string)) as task_key, event_id as task_order, event_id + 1000000 as task_run_id,
+  case event_id % 4 when 0 then 'FAILED' when 1 then 'SUCCESS' when 2 then 'TIMEDOUT' else null end as result_state,
+  case when event_id % 4 = 0 then null when event_id % 12 = 1 then '' else 'Workload failed, see run output for details' end as state_message,
+  case when event_id % 10 = 3 then concat('pl_', cast(event_id % 40 as string)) else null end as pipeline_id
+from (select event_id, cast(floor(event_id / 2) as bigint) as run_id from {events}) e where run_id % 9 <> 0 and run_id % 6 <> 5
+""",
+    "fx_outputs": """
+select event_id + 1000000 as run_id,
+  case event_id % 8 when 0 then concat('Workload failed, see run output for details: https://h/jobs/7/runs/', lpad(cast(cast(floor(event_id / 3) as bigint) as string), 7, '0'))
+    when 1 then 'com.x.NotebookExecutionException: FAILED' when 2 then 'Pipeline execution failed' when 3 then null
+    when 4 then concat('ValueError: bad input ', cast(event_id as string)) when 5 then '' when 6 then 'WorkflowException: child'
+    else 'java.lang.OutOfMemoryError' end as error,
+  case when event_id % 8 = 1 then concat('at https://h/runs/1111 and https://h/?runId=', lpad(cast(cast(floor(event_id / 5) as bigint) as string), 7, '0')) else 'trace' end as error_trace,
+  case when event_id % 3 = 0 then 'see run output for details' else null end as state_message,
+  case when event_id % 8 = 6 then cast(floor(event_id / 4) as bigint) else null end as child_run_id
+from {events} where event_id % 17 <> 0
+union all
+select run_id, case run_id % 5 when 0 then concat('workload failed, see run output: #job/1/run/', lpad(cast(cast(floor(run_id / 2) as bigint) as string), 7, '0'))
+    when 1 then null when 2 then 'KeyError: k' when 3 then 'childPipelineFailed' else '[skipped]' end,
+  'trace', null, null
+from (select distinct cast(floor(event_id / 2) as bigint) as run_id from {events}) r where run_id % 6 = 5 and run_id % 7 <> 0
+""",
+    "fx_event_log": """
+select concat('pl_', cast(event_id % 40 as string)) as pipeline_id, event_id as event_seq, ts as event_ts,
+  case when event_id % 40 < 20 and event_id % 3 = 0 then 'ERROR' else 'INFO' end as level,
+  case when event_id % 40 = 13 then null else concat('flow failed ', cast(event_id as string)) end as message,
+  case when event_id % 40 < 30 and event_id % 5 = 3 then '{{"flow_progress":{{"status":"FAILED"}}}}'
+    when event_id % 7 = 0 and event_id % 40 < 35 then '{{"update_progress":{{"state":"FAILED"}}}}' else '{{}}' end as details
+from {events}
 """,
 }
