@@ -186,8 +186,26 @@ class RunTables:
 RESULT = ["resolved_error", "resolved_trace", "resolved_via", "resolved_depth"]
 
 
+def _units_of(runs: DataFrame, t: RunTables) -> DataFrame:
+    """The tasks of each run; a run without tasks is one ``solo`` unit of its own.
+
+    A run whose detail is gone keeps one ``lost`` row without output.
+    """
+    described = t.runs.select("run_id", F.lit(True).alias("_described"))
+    tasks = t.tasks.withColumnRenamed("state_message", "unit_message")
+    lost = F.col("_described").isNull()
+    solo = ~lost & F.col("task_order").isNull()
+    return (
+        runs.join(described, "run_id", "left")
+        .join(tasks, "run_id", "left")
+        .withColumns({"lost": lost, "solo": solo})
+        .withColumn("unit_run_id", F.when(F.col("solo"), F.col("run_id")).when(~F.col("lost"), F.col("task_run_id")))
+        .drop("_described", "task_run_id")
+    )
+
+
 def _own_output(units: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Units (``unit_run_id`` and ``unit_message``) with the output they left behind."""
+    """Units with the output they left behind, or a marker where it is gone."""
     out = outputs.select(
         F.col("run_id").alias("unit_run_id"),
         "error",
@@ -196,10 +214,10 @@ def _own_output(units: DataFrame, outputs: DataFrame) -> DataFrame:
         F.col("child_run_id").alias("_child"),
         F.lit(True).alias("_has_output"),
     )
-    lost = F.col("unit_run_id").isNotNull() & F.col("_has_output").isNull()
+    gone = F.col("unit_run_id").isNotNull() & F.col("_has_output").isNull()
     return (
         units.join(out, "unit_run_id", "left")
-        .withColumn("error", F.when(lost, NO_OUTPUT).otherwise(F.col("error")))
+        .withColumn("error", F.when(gone, NO_OUTPUT).otherwise(F.col("error")))
         .withColumn("state_message", F.coalesce(_filled(F.col("unit_message")), "_message"))
         .drop("_has_output", "_message", "unit_message")
     )
@@ -209,12 +227,13 @@ def _accepted(error: Column) -> Column:
     return F.coalesce(_filled(error).isNotNull() & ~is_wrapper(error, F.lit(None).cast("string")), F.lit(False))
 
 
-def _resolve_units(units: DataFrame, t: RunTables, depth: int, own_via: Column) -> DataFrame:
+def _resolve_units(units: DataFrame, t: RunTables, depth: int, solo_via: str, solo_follows: bool) -> DataFrame:
     """Add the deepest real error of each unit, following at most ``depth`` levels of children.
 
-    ``solo`` units are runs without tasks: they follow only references in their text.
+    Solo units follow no edge but references in their text, and those only if ``solo_follows``.
     """
     own = _own_output(units, t.outputs)
+    own_via = F.when(F.col("solo"), solo_via).otherwise("task_output")
     if depth <= 0:
         return own.withColumns(
             {
@@ -224,13 +243,18 @@ def _resolve_units(units: DataFrame, t: RunTables, depth: int, own_via: Column)
                 "resolved_depth": F.lit(0),
             }
         )
-    wraps = is_wrapper(F.col("error"), F.col("state_message"))
-    named = child_run_id(F.col("error"), F.col("error_trace"), F.col("state_message"))
+    wraps, named, unit, solo = F.col("_wraps"), F.col("_named"), F.col("unit_run_id"), F.col("solo")
+    by_reference = wraps & (~solo | F.lit(solo_follows)) & ((named != unit) | unit.isNull())
     edged = own.withColumns(
         {
-            "_flow": F.when(wraps & ~F.col("solo"), F.col("pipeline_id")),
-            "_job": F.when(wraps & ~F.col("solo"), F.nullif("_child", F.lit(0))),
-            "_text": F.when(wraps & ((named != F.col("unit_run_id")) | F.col("unit_run_id").isNull()), F.nullif(named, F.lit(0))),
+            "_wraps": is_wrapper(F.col("error"), F.col("state_message")),
+            "_named": child_run_id(F.col("error"), F.col("error_trace"), F.col("state_message")),
+        }
+    ).withColumns(
+        {
+            "_flow": F.when(wraps & ~solo, F.col("pipeline_id")),
+            "_job": F.when(wraps & ~solo, F.nullif("_child", F.lit(0))),
+            "_text": F.when(by_reference, F.nullif(named, F.lit(0))),
         }
     )
     ids = (
@@ -239,108 +263,81 @@ def _resolve_units(units: DataFrame, t: RunTables, depth: int, own_via: Column)
     children = _resolve_children(ids, t, depth - 1).filter(_accepted(F.col("resolved_error")))
     if t.cut:
         children = t.cut(children, f"children-{depth}")
-    flows = t.events.select(
+    flows = t.events.filter(_filled(F.col("message")).isNotNull()).select(
         F.col("pipeline_id").alias("_flow"), F.col("message").alias("_msg"), F.col("details").alias("_details")
-    ).filter(_filled(F.col("_msg")).isNotNull())
-
-    def renamed(edge: str) -> DataFrame:
-        columns = [F.col(c).alias(f"{edge}_{c}") for c in RESULT]
-        return children.select(F.col("run_id").alias(edge), *columns)
-
-    joined = edged.join(flows, "_flow", "left").join(renamed("_job"), "_job", "left").join(renamed("_text"), "_text", "left")
-    by_flow = F.col("_msg").isNotNull()
-    by_job = F.col("_job_resolved_error").isNotNull()
-    by_text = F.col("_text_resolved_error").isNotNull()
-
-    def pick(flow: Column, job: Column, text: Column, own_value: Column) -> Column:
-        return F.when(by_flow, flow).when(by_job, job).when(by_text, text).otherwise(own_value)
-
-    via_flow = F.concat(F.lit("pipeline_event_log("), "_flow", F.lit(")"))
-    via_text = F.concat(F.lit("notebook_run_child/"), "_text_resolved_via")
-    return joined.withColumns(
-        {
-            "resolved_error": pick(F.col("_msg"), F.col("_job_resolved_error"), F.col("_text_resolved_error"), F.col("error")),
-            "resolved_trace": pick(
-                F.col("_details"), F.col("_job_resolved_trace"), F.col("_text_resolved_trace"), F.col("error_trace")
-            ),
-            "resolved_via": pick(via_flow, F.col("_job_resolved_via"), via_text, own_via),
-            "resolved_depth": pick(
-                F.lit(1), F.col("_job_resolved_depth") + 1, F.col("_text_resolved_depth") + 1, F.lit(0)
-            ),
-        }
-    ).select(*own.columns, *RESULT)
-
-
-def _task_units(tasks: DataFrame) -> DataFrame:
-    return tasks.select(
-        "run_id",
-        "task_key",
-        "task_order",
-        "result_state",
-        "pipeline_id",
-        F.col("task_run_id").alias("unit_run_id"),
-        F.col("state_message").alias("unit_message"),
-        F.lit(False).alias("solo"),
     )
 
+    def found_by(edge: str) -> DataFrame:
+        return children.select(F.col("run_id").alias(edge), F.struct(*RESULT).alias(f"{edge}_found"))
 
-def _solo_units(runs: DataFrame) -> DataFrame:
-    return runs.select(
-        "run_id",
-        F.lit(None).cast("string").alias("task_key"),
-        F.lit(0).cast("bigint").alias("task_order"),
-        F.lit(None).cast("string").alias("result_state"),
-        F.lit(None).cast("string").alias("pipeline_id"),
-        F.col("run_id").alias("unit_run_id"),
-        F.lit(None).cast("string").alias("unit_message"),
-        F.lit(True).alias("solo"),
+    joined = (
+        edged.join(flows, "_flow", "left").join(found_by("_job"), "_job", "left").join(found_by("_text"), "_text", "left")
+    )
+    job, text = F.col("_job_found"), F.col("_text_found")
+    at_flow = F.struct(
+        F.col("_msg").alias("resolved_error"),
+        F.col("_details").alias("resolved_trace"),
+        F.concat(F.lit("pipeline_event_log("), "_flow", F.lit(")")).alias("resolved_via"),
+        F.lit(1).alias("resolved_depth"),
+    )
+    at_job = job.withField("resolved_depth", job["resolved_depth"] + 1)
+    at_text = text.withField("resolved_depth", text["resolved_depth"] + 1).withField(
+        "resolved_via", F.concat(F.lit("notebook_run_child/"), text["resolved_via"])
     )
+    at_self = F.struct(
+        F.col("error").alias("resolved_error"),
+        F.col("error_trace").alias("resolved_trace"),
+        own_via.alias("resolved_via"),
+        F.lit(0).alias("resolved_depth"),
+    )
+    found = (
+        F.when(F.col("_msg").isNotNull(), at_flow)
+        .when(job.isNotNull(), at_job)
+        .when(text.isNotNull(), at_text)
+        .otherwise(at_self)
+    )
+    return joined.withColumn("_found", found).select(*own.columns, "_found.*")
 
 
 def _resolve_children(ids: DataFrame, t: RunTables, depth: int) -> DataFrame:
     """One result per child run: its first failed task (any task if none failed) with a real error."""
-    known = ids.join(t.runs, "run_id", "left_semi")
-    lost = ids.join(t.runs, "run_id", "left_anti").select(
-        "run_id",
-        F.lit(NO_CHILD).alias("resolved_error"),
-        F.lit(None).cast("string").alias("resolved_trace"),
-        F.lit("child_run").alias("resolved_via"),
-        F.lit(0).alias("resolved_depth"),
-    )
-    tasks = t.tasks.join(known, "run_id", "left_semi")
-    alone = known.join(t.tasks, "run_id", "left_anti")
-    units = _task_units(tasks).unionByName(_solo_units(alone))
-    own_via = F.when(F.col("solo"), "child_run_output").otherwise("task_output")
-    resolved = _resolve_units(units, t, depth, own_via)
+    resolved = _resolve_units(_units_of(ids, t), t, depth, "child_run_output", True)
     good, failed = _accepted(F.col("resolved_error")), F.col("result_state").isin(FAILED)
     found = F.struct(*RESULT)
     order = F.col("task_order")
-    best = resolved.groupBy("run_id").agg(
-        F.bool_or("solo").alias("_solo"),
-        F.coalesce(F.bool_or(failed), F.lit(False)).alias("_any_failed"),
-        F.min_by(found, F.when(good & failed, order)).alias("_failed"),
-        F.min_by(found, F.when(good, order)).alias("_any"),
-        F.first(found).alias("_own"),
+    best = (
+        resolved.withColumn("_good", good)
+        .groupBy("run_id")
+        .agg(
+            F.bool_or("solo").alias("_solo"),
+            F.bool_or("lost").alias("_lost"),
+            F.coalesce(F.bool_or(failed), F.lit(False)).alias("_any_failed"),
+            F.min_by(found, F.when(F.col("_good") & failed, order)).alias("_failed"),
+            F.min_by(found, F.when(F.col("_good"), order)).alias("_any"),
+            F.first(F.when(F.col("solo"), found), ignorenulls=True).alias("_own"),
+        )
     )
     task = F.when(F.col("_any_failed"), F.col("_failed")).otherwise(F.col("_any"))
     pick = F.when(F.col("_solo"), F.col("_own")).otherwise(task)
-    via = F.when(F.col("_solo"), pick["resolved_via"]).otherwise(
-        F.when(task.isNotNull(), F.concat(F.lit("child_run/"), task["resolved_via"])).otherwise("child_run")
+    via = (
+        F.when(F.col("_lost") | pick.isNull(), "child_run")
+        .when(F.col("_solo"), pick["resolved_via"])
+        .otherwise(F.concat(F.lit("child_run/"), pick["resolved_via"]))
     )
-    picked = best.select(
+    return best.select(
         "run_id",
-        pick["resolved_error"].alias("resolved_error"),
-        pick["resolved_trace"].alias("resolved_trace"),
+        F.when(F.col("_lost"), NO_CHILD).otherwise(pick["resolved_error"]).alias("resolved_error"),
+        F.when(~F.col("_lost"), pick["resolved_trace"]).alias("resolved_trace"),
         via.alias("resolved_via"),
-        F.coalesce(pick["resolved_depth"], F.lit(0)).alias("resolved_depth"),
+        F.when(F.col("_lost"), 0).otherwise(F.coalesce(pick["resolved_depth"], F.lit(0))).alias("resolved_depth"),
     )
-    return picked.unionByName(lost)
 
 
 def resolve_root_cause(tables: RunTables, depth: int = 2) -> DataFrame:
     """Every task with its own error and the deepest real error found behind it."""
-    resolved = _resolve_units(_task_units(tables.tasks), tables, depth, F.lit("task_output"))
-    return resolved.select(
+    units = tables.tasks.withColumnsRenamed({"state_message": "unit_message", "task_run_id": "unit_run_id"})
+    units = units.withColumns({"lost": F.lit(False), "solo": F.lit(False)})
+    return _resolve_units(units, tables, depth, "task_output", False).select(
         "run_id",
         "task_key",
         "task_order",
@@ -358,27 +355,11 @@ def enriched_errors(
     """Candidate runs with their error texts: one row per task, one for a run without
     tasks, and a marker row for a run whose detail is gone."""
     mine = candidates.select("workspace_id", "run_id", "job_id", "run_date", "termination_code")
-    known = mine.join(tables.runs.select("run_id", "run_page_url"), "run_id")
-    scoped = RunTables(
-        tables.runs, tables.tasks.join(known, "run_id", "left_semi"), tables.outputs, tables.events, tables.cut
-    )
-    children = RunTables(tables.runs, tables.tasks, tables.outputs, tables.events, tables.cut)
-    per_task = _resolve_units(_task_units(scoped.tasks), children, depth, F.lit("task_output"))
-    alone = known.join(tables.tasks, "run_id", "left_anti").select("run_id")
-    per_run = _resolve_units(_solo_units(alone), children, 0, F.lit("run_output"))
-    gone = mine.join(tables.runs, "run_id", "left_anti").select(
-        "run_id",
-        F.lit(None).cast("string").alias("task_key"),
-        F.lit(None).cast("bigint").alias("unit_run_id"),
-        F.lit(NO_RUN).alias("state_message"),
-        *[F.lit(None).cast("string").alias(c) for c in ("error", "error_trace", *RESULT[:3])],
-        F.lit(0).alias("resolved_depth"),
-    )
-    columns = gone.columns
-    rows = per_task.select(*columns).unionByName(per_run.select(*columns)).unionByName(gone)
+    pages = tables.runs.select("run_id", "run_page_url")
+    lost = F.col("lost")
     return (
-        mine.join(rows, "run_id")
-        .join(tables.runs.select("run_id", "run_page_url"), "run_id", "left")
+        _resolve_units(_units_of(mine, tables), tables, depth, "run_output", False)
+        .join(pages, "run_id", "left")
         .join(names.select("workspace_id", "workspace_name"), "workspace_id", "left")
         .select(
             "workspace_id",
@@ -387,14 +368,14 @@ def enriched_errors(
             "job_id",
             "run_date",
             "termination_code",
-            "task_key",
+            F.when(~lost, F.col("task_key")).alias("task_key"),
             F.col("unit_run_id").alias("task_run_id"),
-            "state_message",
-            "error",
-            "error_trace",
-            "resolved_error",
-            F.substring("resolved_trace", 1, TRACE_LENGTH).alias("resolved_trace"),
-            "resolved_via",
+            F.when(lost, NO_RUN).otherwise(F.col("state_message")).alias("state_message"),
+            F.when(~lost, F.col("error")).alias("error"),
+            F.when(~lost, F.col("error_trace")).alias("error_trace"),
+            F.when(~lost, F.col("resolved_error")).alias("resolved_error"),
+            F.when(~lost, F.substring("resolved_trace", 1, TRACE_LENGTH)).alias("resolved_trace"),
+            F.when(~lost, F.col("resolved_via")).alias("resolved_via"),
             F.col("resolved_depth").alias("depth"),
             "run_page_url",
         )
