@@ -48,7 +48,7 @@ QUERIES = {
     ),
     "scope_workspace": query(
         lambda t: f.scope_workspace(
-            t.logical("fx_job_periods"), t.logical("fx_workspaces"), workspace_name="NATION_1"
+            t.logical("fx_job_periods"), t.logical("fx_workspaces"), workspace_name="NATION_2"
         ).select("workspace_id", "run_id", "run_type", "result_state")
     ),
     "enrichment_candidates": query(_candidates),
@@ -148,7 +148,7 @@ order by e.failed_runs desc, e.job_id, e.workspace_id limit 25""",
     "scope_workspace": oracle(
         "fx_job_periods fx_workspaces",
         """select workspace_id, run_id, run_type, result_state from fx_job_periods
-where workspace_id in (select workspace_id from fx_workspaces where workspace_name = 'NATION_1')""",
+where workspace_id in (select workspace_id from fx_workspaces where workspace_name = 'NATION_2')""",
     ),
     "enrichment_candidates": oracle(
         "fx_job_periods",

@@ -21,7 +21,7 @@ from (select event_id, event_type, ts, cast(floor(event_id / 2) as bigint) as ru
 select cast(o_orderkey % 5 as string) as workspace_id, o_custkey % 97 as job_id, o_orderdate as change_time, concat('job_', cast(o_orderkey as string)) as name from {orders}
 """,
     "fx_workspaces": """
-select cast(n_nationkey as string) as workspace_id, n_name as workspace_name from {nation} where n_nationkey < 4
+select cast(n_nationkey + 1 as string) as workspace_id, n_name as workspace_name from {nation}
 """,
     "fx_task_errors": """
 select run_id, case when run_id % 7 = 0 then 1 else (run_id * run_id) % 97 end as job_id, concat('task_', cast(event_id % 2 as string)) as task_key,
@@ -42,13 +42,13 @@ select event_id as statement_id, case when event_id % 29 = 0 then null else conc
 from {events}
 """,
     "fx_usage": """
-select cast(user_id % 5 as string) as workspace_id, concat('wh_', cast(user_id % 4 as string)) as warehouse_id,
+select cast(user_id % 5 as string) as workspace_id, case when hour(ts) = 3 then null else concat('wh_', cast(user_id % 4 as string)) end as warehouse_id,
   concat('cl_', cast(user_id % 20 as string)) as cluster_id, case when event_id % 3 = 0 then null else user_id % 97 end as job_id,
-  concat('ep_', cast(user_id % 5 as string)) as endpoint_id, 'AZURE' as cloud,
+  concat('ep_', cast(user_id % 40 as string)) as endpoint_id, 'AZURE' as cloud,
   case event_type when 'purchase' then 'PREMIUM_JOBS_COMPUTE' when 'view' then 'PREMIUM_ALL_PURPOSE_COMPUTE' when 'click' then 'PREMIUM_SQL_PRO'
     when 'signup' then 'PREMIUM_MODEL_SERVING' else 'PREMIUM_MODEL_INFERENCE' end as sku_name,
   'DBU' as usage_unit, floor(value * 100) / 10000 as usage_quantity, ts as usage_start_time, ts as usage_end_time, cast(ts as date) as usage_date
-from {events} where hour(ts) <> 3
+from {events}
 """,
     "fx_prices": """
 select 'AZURE' as cloud, sku_name, 'DBU' as usage_unit, 'USD' as currency_code, price as price_default,
@@ -59,13 +59,13 @@ from (
     cast(r_regionkey + 1 as double) / 8 as price, '2023-01-01 00:00:00' as start_s, '2024-01-15 00:00:00' as end_s from {region}
   union all
   select r_regionkey, split_part('PREMIUM_JOBS_COMPUTE,PREMIUM_ALL_PURPOSE_COMPUTE,PREMIUM_SQL_PRO,PREMIUM_MODEL_SERVING,PREMIUM_MODEL_INFERENCE', ',', cast(1 + r_regionkey as int)),
-    cast(r_regionkey + 1 as double) / 4, '2024-01-15 00:00:00', cast(null as string) from {region} where r_regionkey < 4) p
+    cast(r_regionkey + 1 as double) / 4, case when r_regionkey = 4 then '2030-01-01 00:00:00' else '2024-01-15 00:00:00' end, cast(null as string) from {region}) p
 """,
     "fx_warehouses": """
 select concat('wh_', cast(user_id % 4 as string)) as warehouse_id, concat('warehouse ', cast(user_id % 4 as string)) as warehouse_name, 'PRO' as warehouse_type,
   split_part('SMALL,MEDIUM,LARGE', ',', cast(1 + event_id % 3 as int)) as warehouse_size, 1 + event_id % 2 as min_clusters, 3 + event_id % 5 as max_clusters,
   10 * (1 + event_id % 6) as auto_stop_minutes, ts as change_time
-from {events} where event_type = 'signup' and event_id % 10 = 0
+from {events} where event_type = 'signup'
 """,
     "fx_node_timeline": """
 select cast(user_id % 5 as string) as workspace_id, concat('cl_', cast(user_id % 20 as string)) as cluster_id, concat('i_', cast(user_id as string)) as instance_id,
@@ -83,24 +83,24 @@ select cast(o_custkey % 5 as string) as workspace_id, concat('cl_', cast(o_custk
 from {orders}
 """,
     "fx_node_types": """
-select concat('type_', cast(r_regionkey as string)) as node_type, 4 * (1 + r_regionkey) as core_count, 16384 * (1 + r_regionkey) as memory_mb from {region} where r_regionkey < 3
+select concat('type_', cast(r_regionkey + 1 as string)) as node_type, 4 * (1 + r_regionkey) as core_count, 16384 * (1 + r_regionkey) as memory_mb from {region}
 """,
     "fx_endpoint_usage": """
-select user_id % 12 as served_entity_id, concat('user_', cast(user_id as string)) as requester,
+select user_id as served_entity_id, concat('user_', cast(user_id as string)) as requester,
   case when event_type = 'error' and event_id % 2 = 0 then 429 when event_type = 'error' then 503 when event_id % 31 = 0 then 404 else 200 end as status_code,
   event_id % 3 = 0 as request_streaming, case when event_id % 37 = 0 then null else cast(floor(value * 10) as bigint) end as input_token_count,
   cast(floor(value) as bigint) as output_token_count, ts as request_time
 from {events}
 """,
     "fx_served_entities": """
-select p_partkey as served_entity_id, concat('ep_', cast(p_partkey % 5 as string)) as endpoint_id, concat('endpoint ', cast(p_partkey % 5 as string)) as endpoint_name,
-  case when p_partkey % 2 = 0 then 'CUSTOM_MODEL' else 'FOUNDATION_MODEL' end as entity_type, p_name as entity_name from {part} where p_partkey < 12
+select p_partkey as served_entity_id, concat('ep_', cast(p_partkey % 40 as string)) as endpoint_id, concat('endpoint ', cast(p_partkey % 40 as string)) as endpoint_name,
+  case when p_partkey % 2 = 0 then 'CUSTOM_MODEL' else 'FOUNDATION_MODEL' end as entity_type, p_name as entity_name from {part}
 """,
     "fx_table_history": """
-select concat('t', cast(o_custkey % 40 as string)) as table_name, o_orderkey as version, o_orderdate as op_ts,
+select concat('t', cast(case when o_orderkey % 3 = 0 then 0 else o_custkey end as string)) as table_name, o_orderkey as version, o_orderdate as op_ts,
   split_part('WRITE,MERGE,DELETE,UPDATE,OPTIMIZE,VACUUM START,VACUUM END,CREATE TABLE,RESTORE', ',', cast(1 + case when o_custkey % 40 < 8 and o_orderkey % 9 in (5, 6) then 0 else o_orderkey % 9 end as int)) as operation,
   concat('user_', cast(o_custkey % 7 as string)) as user_name,
-  case when o_orderkey % 9 in (0, 4) then case when o_orderkey % 45 = 0 then 'n/a' else cast(o_orderkey % 11 as string) end else null end as m_removed,
+  case when o_orderkey % 9 in (0, 4) then case when o_orderkey % 45 = 0 then 'n/a' else cast(9 * (o_orderkey % 11) as string) end else null end as m_removed,
   case when o_orderkey % 9 = 1 then cast(o_orderkey % 5 as string) else null end as m_target_removed,
   case when o_orderkey % 9 in (0, 1, 4) then cast(o_orderkey % 13 as string) else null end as m_added,
   case when o_orderkey % 9 = 0 then cast(o_orderkey * 3 as string) else null end as m_rows
@@ -112,65 +112,64 @@ select concat('t', cast(c_custkey as string)) as table_name, concat('s', cast(c_
   concat(split_part('dbfs:/mnt/raw/ abfss://c@acc.dfs/ dbfs:/user/hive/warehouse/ s3://b/ dbfs:/x/ wasbs://c@acc.blob/', ' ', cast(1 + c_custkey % 6 as int)), cast(c_custkey as string)) as location,
   (c_custkey * 37) % 400 as num_files, c_custkey * 7000000000 as size_in_bytes, case when c_custkey % 3 = 0 then 'ds' else '' end as partition_columns,
   case when c_custkey % 5 = 0 then 'id' else '' end as clustering_columns, cast('2001-01-01 00:00:00' as timestamp) as last_modified
-from {customer} where c_custkey < 40
+from {customer}
 """,
     "fx_storage_metrics": """
-select table_name, metric_name, cast(metric_value_raw as double) as metric_value from (
-select concat('t', cast(c_custkey as string)) as table_name, m as metric_name,
-  case m when 'total_bytes' then c_custkey * 7000000000.0 when 'active_bytes' then c_custkey * 2000000000.0 when 'vacuumable_bytes' then case when c_custkey % 6 = 0 then null else c_custkey * 100000000.0 * (c_custkey % 50) end else c_custkey * 1000000.0 end as metric_value_raw
-from {customer} cross join (select 'total_bytes' as m union all select 'active_bytes' union all select 'vacuumable_bytes' union all select 'time_travel_bytes') x
-where c_custkey < 38) q
+select concat('t', cast(c_custkey + 2 as string)) as table_name, 'total_bytes' as metric_name, c_custkey * 7000000000.0e0 as metric_value from {customer}
+union all select concat('t', cast(c_custkey + 2 as string)), 'active_bytes', c_custkey * 2000000000.0e0 from {customer}
+union all select concat('t', cast(c_custkey + 2 as string)), 'vacuumable_bytes', case when c_custkey % 6 = 0 then null else c_custkey * 100000000.0e0 * (c_custkey % 50) end from {customer}
+union all select concat('t', cast(c_custkey + 2 as string)), 'time_travel_bytes', c_custkey * 1000000.0e0 from {customer}
 """,
     "fx_table_props": """
-select concat('t', cast(c_custkey as string)) as table_name, k as prop_key, concat('v', cast(c_custkey % 3 as string)) as prop_value
-from {customer} cross join (select 'delta.enableDeletionVectors' as k union all select 'delta.logRetentionDuration' union all select 'delta.appendOnly') x
-where c_custkey < 40 and c_custkey % 2 = 0
+select concat('t', cast(2 * c_custkey as string)) as table_name, 'delta.enableDeletionVectors' as prop_key, concat('v', cast(c_custkey % 3 as string)) as prop_value from {customer}
+union all select concat('t', cast(2 * c_custkey as string)), 'delta.logRetentionDuration', concat('v', cast(c_custkey % 3 as string)) from {customer}
+union all select concat('t', cast(2 * c_custkey as string)), 'delta.appendOnly', concat('v', cast(c_custkey % 3 as string)) from {customer}
 """,
     "fx_report_config": """
 select concat('r', cast(s_suppkey as string)) as report_id, s_name as report_name, case s_suppkey % 3 when 0 then 'ALL' when 1 then 'any' else null end as refresh_mode,
   case when s_suppkey % 4 = 0 then cast(60 * (1 + s_suppkey % 5) as int) else null end as dependency_window_minutes, s_suppkey % 9 <> 0 as enabled from {supplier}
 """,
     "fx_report_dependencies": """
-select distinct concat('r', cast(l_suppkey as string)) as report_id, concat('Cat.Sch.T', cast(l_partkey % 30 as string)) as source_table from {lineitem} where l_orderkey % 150 = 0 and l_suppkey % 10 <> 3
+select distinct concat('r', cast(case when l_suppkey % 10 = 3 then l_suppkey + 1 else l_suppkey end as string)) as report_id, concat('Cat.Sch.T', cast((l_suppkey * 7 + l_partkey % 4) % 30 as string)) as source_table from {lineitem}
 """,
     "fx_table_state": """
-select concat('cat.sch.t', cast(user_id % 30 as string)) as source_table, max(ts) as last_updated_ts, 'seed' as last_run_id from {events} where user_id % 30 < 26 group by user_id % 30
+select concat('cat.sch.t', cast(user_id % 26 as string)) as source_table, max(ts) as last_updated_ts, 'seed' as last_run_id from {events} group by user_id % 26
 """,
     "fx_report_state": """
-select concat('r', cast(user_id % 100 as string)) as report_id, case when user_id % 4 = 0 then max(ts) else min(ts) end as last_refresh_ts, 'seed' as last_refresh_run_id from {events} where user_id % 2 = 0 group by user_id % 100, user_id % 4
+select concat('r', cast(2 * (user_id % 50) as string)) as report_id, case when user_id % 50 % 2 = 0 then max(ts) else min(ts) end as last_refresh_ts, 'seed' as last_refresh_run_id from {events} group by user_id % 50
 """,
     "fx_updates": """
 select event_id as run_id, case when event_id % 50 = 0 then 'not json' when event_id % 51 = 0 then '' else concat('["Cat.Sch.T', cast(user_id % 30 as string), '", " cat.sch.t', cast(event_id % 30 as string), ' "]') end as updated_tables from {events}
 """,
     "fx_dry_run": """
-select concat('t', cast(c_custkey as string)) as table_name, case when c_custkey % 7 = 0 then null else (c_custkey * 13) % 2000 end as dry_run_files,
+select concat('t', cast(c_custkey as string)) as table_name, case when c_custkey % 7 = 0 or c_custkey % 5 = 4 then null else (c_custkey * 13) % 2000 end as dry_run_files,
   case when c_custkey % 7 = 0 then 'Timeout' else null end as dry_run_error
-from {customer} where c_custkey < 40 and c_custkey % 5 <> 4
+from {customer}
 """,
     "fx_update_events": """
 select event_id as run_id, ts as observed_ts, case when event_id % 50 = 0 then 'not json' when event_id % 51 = 0 then '' else concat('["Cat.Sch.T', cast(user_id % 30 as string), '", " cat.sch.t', cast(event_id % 30 as string), ' "]') end as updated_tables
-from {events} where event_type in ('signup', 'error')
+from {events}
 """,
     "fx_emissions": """
 select event_id as statement_id, event_type as status, value as amount, ts as update_time from {events}
-union all select event_id, 'corrected', value + 1, ts + interval '1' hour from {events} where event_id % 3 = 0
-union all select event_id, 'stale', value - 1, ts - interval '1' hour from {events} where event_id % 5 = 0
-union all select event_id, event_type, value, ts from {events} where event_id % 7 = 0
-union all select event_id, 'undated', value, cast(null as timestamp) from {events} where event_id % 11 = 0
+union all select event_id, 'corrected', value + 1, ts + interval '1' hour from {events} where event_type = 'purchase'
+union all select event_id, 'stale', value - 1, ts - interval '1' hour from {events} where event_type = 'view'
+union all select event_id, event_type, value, ts from {events} where event_type in ('click', 'view')
+union all select event_id, 'undated', value, cast(null as timestamp) from {events} where event_type in ('error', 'purchase')
 """,
     "fx_runs": """
 select run_id, concat('https://h/run/', cast(run_id as string)) as run_page_url
-from (select distinct cast(floor(event_id / 2) as bigint) as run_id from {events}) r where run_id % 9 <> 0
+from (select distinct case when floor(event_id / 2) % 9 = 0 then -1 else 1 end * cast(floor(event_id / 2) as bigint) as run_id from {events}) r
 """,
     "fx_tasks": """
-select run_id, concat('task_', cast(event_id % 2 as string)) as task_key, event_id as task_order, event_id + 1000000 as task_run_id,
+select case when run_id % 6 = 5 or run_id % 9 = 0 then -1 - run_id else run_id end as run_id, concat('task_', cast(event_id % 2 as string)) as task_key, event_id as task_order, event_id + 1000000000000 as task_run_id,
   case event_id % 4 when 0 then 'FAILED' when 1 then 'SUCCESS' when 2 then 'TIMEDOUT' else null end as result_state,
   case when event_id % 4 = 0 then null when event_id % 12 = 1 then '' else 'Workload failed, see run output for details' end as state_message,
   case when event_id % 10 = 3 then concat('pl_', cast(event_id % 40 as string)) else null end as pipeline_id
-from (select event_id, cast(floor(event_id / 2) as bigint) as run_id from {events}) e where run_id % 9 <> 0 and run_id % 6 <> 5
+from (select event_id, cast(floor(event_id / 2) as bigint) as run_id from {events}) e
 """,
     "fx_outputs": """
-select event_id + 1000000 as run_id,
+select case when event_id % 17 = 0 then -1 else 1 end * (event_id + 1000000000000) as run_id,
   case event_id % 8 when 0 then concat('Workload failed, see run output for details: https://h/jobs/7/runs/', lpad(cast(cast(floor(event_id / 3) as bigint) as string), 7, '0'))
     when 1 then 'com.x.NotebookExecutionException: FAILED' when 2 then 'Pipeline execution failed' when 3 then null
     when 4 then concat('ValueError: bad input ', cast(event_id as string)) when 5 then '' when 6 then 'WorkflowException: child'
@@ -178,12 +177,12 @@ select event_id + 1000000 as run_id,
   case when event_id % 8 = 1 then concat('at https://h/runs/1111 and https://h/?runId=', lpad(cast(cast(floor(event_id / 5) as bigint) as string), 7, '0')) else 'trace' end as error_trace,
   case when event_id % 3 = 0 then 'see run output for details' else null end as state_message,
   case when event_id % 8 = 6 then cast(floor(event_id / 4) as bigint) else null end as child_run_id
-from {events} where event_id % 17 <> 0
+from {events}
 union all
-select run_id, case run_id % 5 when 0 then concat('workload failed, see run output: #job/1/run/', lpad(cast(cast(floor(run_id / 2) as bigint) as string), 7, '0'))
+select case when run_id % 7 = 0 then -1 else 1 end * run_id, case run_id % 5 when 0 then concat('workload failed, see run output: #job/1/run/', lpad(cast(cast(floor(run_id / 2) as bigint) as string), 7, '0'))
     when 1 then null when 2 then 'KeyError: k' when 3 then 'childPipelineFailed' else '[skipped]' end,
   'trace', null, null
-from (select distinct cast(floor(event_id / 2) as bigint) as run_id from {events}) r where run_id % 6 = 5 and run_id % 7 <> 0
+from (select distinct cast(floor(event_id / 2) as bigint) as run_id from {events}) r
 """,
     "fx_event_log": """
 select concat('pl_', cast(event_id % 40 as string)) as pipeline_id, event_id as event_seq, ts as event_ts,
