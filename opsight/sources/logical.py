@@ -191,5 +191,89 @@ select concat('pl_', cast(event_id % 40 as string)) as pipeline_id, event_id as
   case when event_id % 40 < 30 and event_id % 5 = 3 then '{{"flow_progress":{{"status":"FAILED"}}}}'
     when event_id % 7 = 0 and event_id % 40 < 35 then '{{"update_progress":{{"state":"FAILED"}}}}' else '{{}}' end as details
 from {events}
+""",
+    "fx_describe_rows": """
+select concat('o', cast(l_orderkey as string)) as object, l_linenumber as ord,
+  case l_linenumber when 1 then ' id ' when 2 then 'ds' when 3 then '# Partition Information' when 4 then 'ds' when 5 then ''
+    when 6 then '# Detailed Table Information' else 'Location' end as col_name,
+  case l_linenumber when 7 then concat(' dbfs:/x/', cast(l_partkey as string)) else 'bigint' end as data_type,
+  case when l_partkey % 3 = 0 then null else 'note' end as comment
+from {lineitem}
+""",
+    "fx_mounts": """
+select concat('/mnt/n', cast(n_nationkey as string), case when n_nationkey % 2 = 0 then '/' else '' end) as mount_point,
+  concat(split_part('abfss://c@acc.dfs.core|abfs://c@acc.dfs.core|wasbs://c@acc.blob.core.net|adl://acc.lake|WASB://plain|s3://b', '|', cast(1 + n_nationkey % 6 as int)), '/n', cast(n_nationkey as string)) as source from {nation}
+union all select concat('/mnt/n', cast(r_regionkey as string), '/deep'), concat('abfss://d@acc.dfs.core/r', cast(r_regionkey as string)) from {region}
+union all select concat('/data-', cast(r_regionkey as string)), 'dbfs-root' from {region}
+""",
+    "fx_inventory": """
+select concat('S', cast(p_partkey % 5 as string)) as src_schema, concat('t', cast(p_partkey as string)) as table_name,
+  split_part('managed,EXTERNAL,EXTERNAL,VIEW', ',', cast(1 + p_partkey % 4 as int)) as table_type,
+  split_part('Delta,parquet,csv,hive', ',', cast(1 + p_size % 4 as int)) as provider,
+  concat(case p_partkey % 7 when 0 then concat('dbfs:/mnt/n', cast(p_size as string), '/') when 1 then 'dbfs:/mnt/n1/deep/' when 2 then 'dbfs:/mnt/n2/deepest/'
+    when 3 then 'dbfs:/user/hive/warehouse/' when 4 then 'dbfs:/Volumes/a/b/' when 5 then concat('dbfs:/mnt/n', cast(p_partkey % 25 as string), '/x/') else 'abfss://c@acc.dfs/' end, p_name) as location,
+  case when p_partkey % 3 = 0 then null when p_partkey % 3 = 1 then concat('This table is deprecated. Please use main.s.t instead of h.s.t. ', p_name) else p_name end as comment,
+  p_partkey % 6 = 0 as target_exists
+from {part}
+""",
+    "fx_views": """
+select concat('S', cast(s_suppkey % 4 as string)) as src_schema, concat('v', cast(s_suppkey as string)) as view_name,
+  case s_suppkey % 6 when 0 then concat('select * from Hive_Metastore.S1.t', cast(s_suppkey as string), ' -- from hive_metastore.S1.x')
+    when 1 then concat('select a.b from S2.t', cast(s_suppkey as string), ' a join `spark_catalog`.`S1`.`t 4` on a.x = 1')
+    when 2 then concat('select "it is from S1.t" as c, /* join S2.t */ 1 from S9.t', cast(s_suppkey as string))
+    when 3 then concat('select * from other.S1.t', cast(s_suppkey as string), ', hive_metastore.S3.u')
+    when 4 then concat('select * from S9.a x, S1.t', cast(s_suppkey as string)) else concat('select x from `S1` . t', cast(s_suppkey as string)) end as view_text
+from {supplier}
+""",
+    "fx_view_edges": """
+select concat('v', cast(s_suppkey as string)) as view, concat('v', cast(cast(floor(s_suppkey / 3) as bigint) as string)) as depends_on from {supplier}
+union all select concat('v', cast(s_suppkey + 1 as string)), concat('base', cast(s_nationkey as string)) from {supplier}
+union all select concat('w', cast(s_suppkey as string)), concat('w', cast(cast(floor(s_suppkey / 3) as bigint) - 1 as string)) from {supplier}
+""",
+    "fx_ddl": """
+select p_partkey, p_name, concat('main.`s`.`t', cast(p_partkey as string), '`') as target, concat('abfss://c@acc.dfs/$1/', p_name) as cloud_path,
+  concat(case p_partkey % 3 when 0 then 'CREATE TABLE hive_metastore.s.t' when 1 then ' create external table `a b`.t' else 'CREATE VIEW v' end, cast(p_partkey as string),
+    ' (id INT)', chr(10), 'USING csv', chr(10), case when p_partkey % 5 = 4 then 'COMMENT' else 'LOCATION' end, ' ', chr(39), 'dbfs:/mnt/x/', p_name, chr(39), chr(10), 'LOCATION ', chr(39), 'second', chr(39)) as ddl
+from {part}
+""",
+    "fx_users": """
+select concat('u', cast(c_custkey as string)) as id, lower(c_name) as user_name, case when c_custkey % 7 = 0 then null else c_name end as display_name,
+  case when c_custkey % 11 = 0 then null else c_mktsegment end as family_name, c_acctbal > 0 as active, concat(lower(c_name), '@x') as emails from {customer}
+""",
+    "fx_users_replica": """
+select concat('R', cast(c_custkey as string)) as id, case when c_custkey % 3 = 0 then c_name else lower(c_name) end as user_name from {customer}
+""",
+    "fx_spns": """
+select concat('s', cast(s_suppkey as string)) as id, concat('app-', cast(s_suppkey as string)) as application_id,
+  case when s_suppkey % 4 = 0 then null else s_name end as display_name from {supplier}
+""",
+    "fx_spns_replica": """
+select concat('Q', cast(s_suppkey as string)) as id, concat(case when s_suppkey % 5 = 0 then 'other-' else 'app-' end, cast(s_suppkey as string)) as application_id from {supplier}
+""",
+    "fx_groups": """
+select concat('g', cast(o_orderkey as string)) as id, case when o_orderkey % 20 = 0 then '' else concat('group ', cast(o_orderkey as string)) end as display_name from {orders}
+""",
+    "fx_groups_replica": """
+select concat('H', cast(o_orderkey as string)) as id, concat(case when o_orderkey % 4 = 0 then 'old ' else 'group ' end, cast(o_orderkey as string)) as display_name from {orders}
+""",
+    "fx_members": """
+select concat('g', cast(case when l_orderkey % 3 = 0 then 1 else l_orderkey end as string)) as group_id, l_orderkey * 10 + l_linenumber as position,
+  case l_linenumber when 1 then concat('u', cast(l_partkey as string)) when 2 then concat('s', cast(l_suppkey as string)) when 3 then concat('g', cast(l_orderkey + 1 as string))
+    when 4 then concat('u', cast(l_suppkey as string)) when 5 then '' when 6 then concat('zz', cast(l_partkey as string)) else concat('s', cast(l_suppkey as string)) end as value,
+  case l_linenumber when 1 then 'Users/1' when 3 then 'Groups/1' when 6 then 'Users/9' when 7 then 'Users/2' else null end as ref
+from {lineitem}
+""",
+    "fx_config_lines": """
+select case when block % 3 = 0 then 'big' else concat('f', cast(block % 100 as string)) end as file, event_id as line_no,
+  case part when 0 then concat('resource "x_sql_table" "t', cast(block as string), '" {{')
+    when 1 then case when user_id % 4 = 0 then '  table_type = "MANAGED"' when user_id % 9 = 0 then '  view_definition = "select 1"' else '  table_type = "EXTERNAL"' end
+    when 2 then concat('  depends_on = [x_grants.schema_', cast(user_id as string), ', x_schema.s', case when event_id % 2 = 0 then ']' else concat(' ,x_grants.schema_', cast(block as string), ' ] # end') end)
+    when 3 then case when user_id % 3 = 0 then concat('depends_on=[ x_grants.schema_', cast(2 * user_id as string), ' ]') else '  properties = {{' end
+    when 4 then case when block % 8 = 5 then '' else '}}' end when 5 then concat('# note ', cast(user_id as string)) else case when block % 5 = 0 then '  }}' else '  depends_on = []' end end as line
+from (select event_id, user_id, cast(floor(event_id / 7) as bigint) as block, event_id % 7 as part from {events}) e
+""",
+    "fx_grant_lines": """
+select 'grants' as file, s_suppkey as line_no, concat('resource "x_grants" "schema_', cast(2 * s_suppkey as string), '" {{') as line from {supplier}
+union all select 'grants', s_suppkey + 1000000000000, '  schema = "x"' from {supplier}
 """,
 }
