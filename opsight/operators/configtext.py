@@ -23,8 +23,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Config files as numbered lines. Each file is read whole by one task, to number its lines."""
     lines = F.split("value", "\n")
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line_no", "line"))
         .withColumn("line_no", F.col("line_no").cast("bigint"))
     )
