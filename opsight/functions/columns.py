@@ -15,13 +15,13 @@ def hour_of(ts: Column) -> Column:
 
 
 def settled(col: Column | str, digits: int) -> Column:
-    """Round half up after dropping the noise below 1e-9.
+    """Round half up after dropping the noise four digits further down.
 
     Sums of doubles arrive in any order; without this, a value on a rounding edge
     would depend on how the data was partitioned.
     """
     value = F.col(col) if isinstance(col, str) else col
-    return F.round(F.round(value.cast("double"), 9), digits)
+    return F.round(F.round(value.cast("double"), digits + 4), digits)
 
 
 def pct(part: Column, whole: Column, digits: int) -> Column:

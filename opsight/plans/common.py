@@ -43,7 +43,8 @@ def settle_rounds(sql: str) -> str:
             if depth == 0:
                 break
         inner = settle_rounds(rest[at + 6 : cut])
-        out += rest[:at] + f"cast(round(cast({inner} as decimal(38, 9)), {rest[cut + 1 : i].strip()}) as double)"
+        digits = int(rest[cut + 1 : i])
+        out += rest[:at] + f"cast(round(cast({inner} as decimal(38, {digits + 4})), {digits}) as double)"
         rest = rest[i + 1 :]
     return out + rest
 

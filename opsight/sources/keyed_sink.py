@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.operators.ingest import newest_wins
+from opsight.operators.ingest import latest_in_batch, newest_wins
 
 
 class KeyedSink:
@@ -85,7 +85,8 @@ class KeyedSink:
         if current["applied"].get(source, -1) >= batch_id:
             return False
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        fresh = batch.select(*self.schema.fieldNames()).withColumn("bucket", bucket).persist()
+        newest = latest_in_batch(batch.select(*self.schema.fieldNames()), self.key, self.ts, self.tie)
+        fresh = newest.withColumn("bucket", bucket).persist()
         try:
             touched = [str(r[0]) for r in fresh.select("bucket").distinct().collect()]
             old = self._rows({b: f for b, f in current["folders"].items() if b in set(touched)})
