@@ -32,6 +32,16 @@ def clipped_day(ts: Column, first: date, last: date) -> Column:
     return F.greatest(F.least(F.to_date(ts), F.lit(last)), F.lit(first))
 
 
+def fits_broadcast(df: DataFrame, copies: int) -> bool:
+    """Whether ``df``, each row repeated ``copies`` times, stays below the broadcast limit.
+
+    The planner's own estimate does not see that an explode repeats rows.
+    """
+    state = df.sparkSession._jsparkSession.sessionState()
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate * copies <= state.conf().autoBroadcastJoinThreshold()
+
+
 def interval_join(
     facts: DataFrame,
     spans: DataFrame,
@@ -48,17 +58,20 @@ def interval_join(
     ``end`` may be null (still open). Both sides also carry a calendar day, clipped
     to ``days``, as an equality key: a hot key is spread over the days of the window
     and each fact meets only the spans of its own day. Clipping is monotone, so a
-    fact outside ``days`` still meets every span that covers it.
+    fact outside ``days`` still meets every span that covers it. The daily spans may be
+    broadcast only if their repeated size is below the limit; else both sides are
+    shuffled, and hot partitions are split at run time.
     """
     first, last = days
     until = F.coalesce(clipped_day(F.col(end), first, last), F.lit(last))
     since = clipped_day(F.col(start), first, last)
     left = facts.withColumn("_day", clipped_day(F.col(at), first, last)).alias("f")
-    right = (
-        spans.filter(F.col(end).isNull() | (F.col(start) <= F.col(end)))
-        .withColumn("_day", F.explode(F.sequence(since, until)))
-        .alias("s")
+    daily = spans.filter(F.col(end).isNull() | (F.col(start) <= F.col(end))).withColumn(
+        "_day", F.explode(F.sequence(since, until))
     )
+    if not fits_broadcast(spans, (last - first).days + 1):
+        daily = daily.hint("merge")
+    right = daily.alias("s")
     cond = F.col("f._day") == F.col("s._day")
     for key in keys:
         cond = cond & (F.col(f"f.{key}") == F.col(f"s.{key}"))

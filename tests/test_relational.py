@@ -75,6 +75,22 @@ def test_interval_join_matches_brute_force(spark):
     assert sorted((r.i, r.label) for r in got.collect()) == want
 
 
+def test_repeated_spans_are_broadcast_only_below_the_limit(spark):
+    facts = spark.range(10).select((F.col("id") % 2).alias("key"), F.lit(T0).cast("timestamp_ntz").alias("ts"))
+    spans = spark.range(2).select(
+        F.col("id").alias("key"), F.lit(at(-1)).cast("timestamp_ntz").alias("s"), F.lit(at(1)).cast("timestamp_ntz").alias("e")
+    )
+    plan = lambda: interval_join(facts, spans, ["key"], "ts", "s", "e", DAYS)
+    shown = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        assert "BroadcastHashJoin" in shown(plan())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "150")  # below five copies of the spans
+        assert "SortMergeJoin" in shown(plan()) and plan().count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_validity_and_as_of_match_brute_force(spark):
     rnd = random.Random(2)
     changes = [(rnd.choice("hhha"), at(rnd.randint(-200, 100)), i) for i in range(120)]
