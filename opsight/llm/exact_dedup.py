@@ -75,11 +75,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row without an id stays only if no row with an id has its text, and once.
     """
     verdicts = exact_duplicates(docs, id_col, text_col, salts).filter("kept")
-    stay = verdicts.groupBy(F.col(id_col).alias("_stay"), "text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
+    stay = verdicts.groupBy(F.col(id_col).alias("_stay"), F.col("text_sha256").alias("_stay_sha"))
+    stay = stay.agg(F.count(F.lit(1)).alias("_rows"))
     sha = F.sha2(ascii_lower(text_of(text_col)), 256)
     rows = docs.withColumn("_sha_of_row", sha)
     kept = rows.join(
-        stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_sha_of_row") == F.col("text_sha256"))
+        stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_sha_of_row") == F.col("_stay_sha"))
     )
     alone = kept.filter("_rows = 1").select(docs.columns)
     again = kept.filter("_rows > 1").dropDuplicates(["_stay", "_sha_of_row"]).select(docs.columns)

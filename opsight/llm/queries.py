@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from opsight.llm import exact_dedup, mixing, quality
+from opsight.llm import exact_dedup, mixing, near_dup, packing, quality
 from opsight.llm.common import table
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents")).drop("loss_tokens")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
@@ -22,10 +25,16 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), size=3, similarity=0.85)
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
