@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entrypoint
+from opsight.plans.registry import all_oracles, all_queries
 from tools.compare import duck, rows
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entrypoint.queries(), entrypoint.oracle_sql()
+QUERIES, ORACLE = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entrypoint.queries())
+    assert set(ORACLE) <= set(entrypoint.oracle_sql())
+
+
 def test_entry_runs(spark):
     assert entrypoint.entry(spark).count() > 0
 
