@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsight.llm import exact_dedup, mixing, near_dup, packing, quality
+from opsight.llm import exact_dedup, html_template, mixing, near_dup, packing, quality
 from opsight.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents")).drop("loss_tokens")
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.extract_text(table(spark, folder, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
@@ -31,6 +35,7 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_html_text": op2_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
