@@ -204,7 +204,8 @@ def quality_rules(
     gives null distances. Repeated rows, null or repeated ids are each their own document.
     Other columns are not read. An empty table gives an empty result.
     """
-    words = common_words(docs, common, text_col, lang_col)
+    # Written first, so the planner knows its size and broadcasts it only if it is small.
+    words = materialize(common_words(docs, common, text_col, lang_col), "quality-words")
     measured = materialize(measures(docs, words, common, id_col, text_col, lang_col), "quality-measures")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
