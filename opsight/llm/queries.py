@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsight.llm import exact_dedup, html_template, mixing, near_dup, packing, quality
+from opsight.llm import exact_dedup, html_template, license_scan, lm_score, mixing, near_dup, packing, quality, toxicity
 from opsight.llm.common import table
 
 
@@ -16,10 +16,18 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_template.extract_text(table(spark, folder, "pages"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -33,13 +41,20 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), size=3, similarity=0.85)
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
