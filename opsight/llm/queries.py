@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsight.llm import exact_dedup, html_template, license_scan, lm_score, mixing, near_dup, packing, quality, toxicity
+from opsight.llm import exact_dedup, html_template, license_scan, lm_score, mixing, near_dup, packing, quality, quotes, toxicity
 from opsight.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op7_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.reply_threads(quotes.as_mail(table(spark, folder, "conversations")))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quotation_links": op7_quotation_links,
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
