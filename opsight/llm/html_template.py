@@ -201,18 +201,23 @@ def _validity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(page: str, constant: set[int], root: set[int], link_slots: set[int]) -> str:
-    """Text of the article's blocks that the template does not account for."""
+    """Text of the article's blocks.
+
+    An element that holds the article is a slot of the template and is read as it is.
+    Without one, link slots and text that belongs to the template go, unless that is most
+    of the page: a host full of copies of one page would otherwise have no text.
+    """
     parsed = parse(page)
     blocks = [(i, t) for i, t in enumerate(parsed) if isinstance(t, Text) and not t.out]
-    inside = [(i, t) for i, t in blocks if t.inside]
+    inside = [t.text for _, t in blocks if t.inside]
     if inside:
-        blocks = inside
-    elif link_slots:
+        return " ".join(inside)
+    if link_slots:
         at = slots([token_hash(t) for t in parsed], root)
         blocks = [(i, t) for i, t in blocks if at[i] not in link_slots]
-    if constant:
-        blocks = [(i, t) for i, t in blocks if token_hash(t) not in constant]
-    return " ".join(t.text for _, t in blocks)
+    own = [t.text for _, t in blocks if token_hash(t) not in constant]
+    every = [t.text for _, t in blocks]
+    return " ".join(own if 2 * sum(map(len, own)) >= sum(map(len, every)) else every)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
