@@ -13,8 +13,12 @@ the full sets. No bucket is emitted as all its pairs:
 2. In every bucket all nodes are compared with its least node: one pair per node.
 3. Buckets whose nodes are then connected are done. In the others, nodes of different
    components are compared by their signatures in blocks of bounded size, in tasks that
-   hold two blocks; pairs whose estimate is not far below the limit (a miss is less likely
-   than one in banding) go to verification.
+   hold two blocks. Pairs whose estimate is not far below the limit (a miss is less likely
+   than one in banding) are candidates, of which a task gives only a spanning forest: the
+   components of these forests are families that hold both ends of every candidate pair.
+4. Families are compared in blocks in the same way, now with full sets, and a task gives
+   one confirmed link for every two components that it joins. The rows made are so at most
+   in proportion to the nodes and blocks, never to the pairs.
 
 Full sets are made only for nodes in candidate pairs, from their texts again.
 """
@@ -34,7 +38,7 @@ from opsight.llm.wordhash import blocks, mix64, shingles
 from opsight.scratch import materialize
 
 BANDS, ROWS = 25, 5
-COMPARED = 512
+COMPARED = 256
 MARGIN = 0.2
 
 
@@ -139,41 +143,93 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np
         yield {c: rest.column(c).to_numpy() for c in rest.column_names}
 
 
-def _compare(similarity: float, size: int):
-    """Pairs of a run with different components, fitting sizes and a near enough estimate."""
-    least = (similarity - MARGIN) * size
+def _partners(rows: dict[str, np.ndarray], component: np.ndarray, coords: np.ndarray, i: int, similarity: float) -> np.ndarray:
+    """Later rows of a run that may be linked to row ``i`` and would join two components."""
+    n = rows["n_shingles"]
+    others = component[i + 1 :] != component[i]
+    others &= np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i])
+    if rows["_low"][0] != rows["_high"][0]:
+        others &= rows["_block"][i + 1 :] != rows["_block"][i]
+    j = np.flatnonzero(others) + i + 1
+    return j[(coords[j] == coords[i]).sum(axis=1) >= (similarity - MARGIN) * coords.shape[1]]
+
+
+def _coords(rows: dict[str, np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["_coords"]), dtype="<u2").reshape(len(rows["node"]), -1)
+
+
+def _pairs(rows: dict[str, np.ndarray], found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (rows["node"][np.array(x, dtype=np.int64)] for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
+def _compare(similarity: float):
+    """Of each run, a forest that spans the candidate pairs across components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
+            coords, found = _coords(rows), []
+            tree = np.arange(len(coords))
+            for i in range(len(coords) - 1):
+                j = _partners(rows, rows["component"], coords, i, similarity)
+                for t, first in zip(*np.unique(tree[j], return_index=True), strict=True):
+                    if t != tree[i]:
+                        found.append((i, int(j[first])))
+                        tree[tree == t] = tree[i]
+            if found:
+                yield _pairs(rows, found)
+
+    return run
+
+
+def _verify(similarity: float):
+    """Of each run, confirmed links, one for every two components that they join."""
+    percent = round(100 * similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 3):
-            node, component, n = rows["node"], rows["component"], rows["n_shingles"]
-            if len(node) < 2:
-                continue
-            coords = np.frombuffer(b"".join(rows["_coords"]), dtype="<u2").reshape(len(node), -1)
-            one_block = rows["_low"][0] == rows["_high"][0]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i in range(len(node) - 1):
-                others = component[i + 1 :] != component[i]
-                small, large = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
-                others &= small >= similarity * large
-                if not one_block:
-                    others &= rows["_block"][i + 1 :] != rows["_block"][i]
-                j = np.flatnonzero(others) + i + 1
-                if len(j):
-                    j = j[(coords[j] == coords[i]).sum(axis=1) >= least]
-                    found.append((np.full(len(j), node[i]), node[j]))
+            coords, found = _coords(rows), []
+            component = rows["component"].copy()
+            sizes = np.array([len(x) for x in rows["hashes"]])
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            names, compact = np.unique(np.concatenate(rows["hashes"]), return_inverse=True)
+            mine = np.zeros(len(names), dtype=bool)
+            for i in range(len(coords) - 1):
+                j = _partners(rows, component, coords, i, similarity)
+                if not len(j):
+                    continue
+                own = compact[begins[i] : begins[i + 1]]
+                mine[own] = True
+                both = np.array([int(mine[compact[begins[x] : begins[x + 1]]].sum()) for x in j.tolist()])
+                mine[own] = False
+                j = j[100 * both >= percent * (sizes[i] + sizes[j] - both)]
+                for c, first in zip(*np.unique(component[j], return_index=True), strict=True):
+                    found.append((i, int(j[first])))
+                    component[component == c] = component[i]
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                pair = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
-                yield pa.RecordBatch.from_arrays(pair, ["u", "v"])
+                yield _pairs(rows, found)
 
     return run
 
 
+def _in_blocks(rows: DataFrame, key: str, blocks_of: DataFrame) -> DataFrame:
+    """Rows of each key dealt to blocks, once for every block that theirs is compared with.
+
+    A run of equal (key, ``_low``, ``_high``) holds two blocks, or one compared with itself.
+    """
+    placed = rows.join(blocks_of, key).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
+    paired = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    paired = paired.withColumn("_low", F.least("_block", "_with")).withColumn("_high", F.greatest("_block", "_with"))
+    extra = [c for c in rows.columns if c != key]
+    paired = paired.select(key, "_low", "_high", "_block", *extra)
+    return paired.repartition(key, "_low", "_high").sortWithinPartitions(key, "_low", "_high")
+
+
 class NearDuplicates:
     """One run over ``docs``; the tables of its steps are written below the scratch folder."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, bands: int, rows: int):
-        self.size, self.similarity, self.coords = size, similarity, bands * rows
+        self.size, self.similarity = size, similarity
         self.id_col = id_col
         self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
         schema = "_id long, n_shingles long, _set binary, _bands array<long>, _coords binary"
@@ -196,38 +252,36 @@ class NearDuplicates:
         pairs = self.buckets.join(heads, "_bucket").filter("node <> _head").filter(self.fits("n_shingles", "_head_n"))
         return pairs.select(F.col("_head").alias("u"), F.col("node").alias("v")).distinct()
 
-    def rest_pairs(self, members: DataFrame) -> DataFrame:
-        """Candidate pairs across components; ``members`` has node and component."""
-        buckets = self.buckets.select("node", "_bucket").join(members, "node", "left")
-        buckets = buckets.withColumn("component", F.coalesce("component", "node"))
+    def rest_links(self, members: DataFrame) -> DataFrame:
+        """Confirmed links that join components; ``members`` has node and component."""
+        nodes = self.nodes.select("node", "n_shingles", "_coords").join(members, "node", "left")
+        nodes = nodes.withColumn("component", F.coalesce("component", "node"))
+        buckets = self.buckets.select("node", "_bucket").join(nodes.select("node", "component"), "node")
         mixed = buckets.groupBy("_bucket").agg(
             F.min("component").alias("_a"), F.max("component").alias("_z"), F.count(F.lit(1)).alias("_n")
         )
         mixed = mixed.filter("_a <> _z").select("_bucket", F.ceil(F.col("_n") / COMPARED).cast("int").alias("_blocks"))
-        placed = buckets.join(mixed, "_bucket").withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
-        placed = placed.join(self.nodes.select("node", "n_shingles", "_coords"), "node")
-        paired = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        paired = paired.select(
-            "_bucket",
-            F.least("_block", "_with").alias("_low"),
-            F.greatest("_block", "_with").alias("_high"),
-            "_block",
-            "node",
-            "component",
-            "n_shingles",
-            "_coords",
-        )
-        groups = paired.repartition("_bucket", "_low", "_high").sortWithinPartitions("_bucket", "_low", "_high")
-        return groups.mapInArrow(_compare(self.similarity, self.coords), "u long, v long").distinct()
+        left = buckets.join(mixed.select("_bucket"), "_bucket").select("_bucket", "node").join(nodes, "node")
+        left = left.select("_bucket", "node", "component", "n_shingles", "_coords")
+        close = _in_blocks(left, "_bucket", mixed).mapInArrow(_compare(self.similarity), "u long, v long")
+        families = materialize(components(close).withColumnRenamed("component", "_family"), "near-families")
+        counts = families.groupBy("_family").agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.select("_family", F.ceil(F.col("_n") / COMPARED).cast("int").alias("_blocks"))
+        rows = families.join(nodes, "node").join(self.full_sets(families.select("node")), "node")
+        rows = rows.select("_family", "node", "component", "n_shingles", "_coords", "hashes")
+        return _in_blocks(rows, "_family", counts).mapInArrow(_verify(self.similarity), "u long, v long")
+
+    def full_sets(self, wanted: DataFrame) -> DataFrame:
+        """``node`` and ``hashes`` of the wanted nodes, from their texts."""
+        wanted = wanted.join(self.nodes.select("node", "_set"), "node")
+        texts = self.texts.join(wanted, F.col("_id") == F.col("node")).select("node", "_text", "_set")
+        sets = texts.mapInArrow(_full_sets(self.size), "node long, hashes array<long>").dropDuplicates(["node"])
+        return materialize(sets, "near-sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = materialize(pairs, "near-pairs")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = wanted.join(self.nodes.select("node", "_set"), "node")
-        texts = self.texts.join(wanted, F.col("_id") == F.col("node")).select("node", "_text", "_set")
-        sets = texts.mapInArrow(_full_sets(self.size), "node long, hashes array<long>").dropDuplicates(["node"])
-        sets = materialize(sets, "near-sets")
+        sets = self.full_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("_a"))
         right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("_b"))
         both = pairs.join(left, "u").join(right, "v").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
@@ -236,8 +290,8 @@ class NearDuplicates:
 
     def result(self) -> DataFrame:
         stars = materialize(self.confirmed(self.star_pairs()), "near-links")
-        links = stars.unionAll(self.confirmed(self.rest_pairs(materialize(components(stars), "near-stars"))))
-        members = components(links)
+        rest = self.rest_links(materialize(components(stars), "near-stars"))
+        members = components(stars.unionAll(rest))
         of_set = self.nodes.select("node", "_set", "_copies").join(members, "node", "left")
         of_set = of_set.filter("_copies > 1 or component is not null")
         of_set = of_set.select("_set", F.coalesce("component", "node").alias("component"))
