@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,8 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

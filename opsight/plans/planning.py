@@ -179,7 +179,7 @@ from fx_describe_rows r join heads h on r.object = h.object where trim(r.col_nam
     "migration_plan": oracle("fx_inventory fx_mounts", _MOUNTED, _PLANNED, "select * from plan"),
     "migration_log": oracle(
         "fx_inventory fx_mounts", _MOUNTED, _PLANNED,
-        f"select {AS_OF} as ts, source, target, object_type, method, status, left(message, 2000) as message from plan",
+        f"select {AS_OF} as ts, source, target, object_type, method, status, message from plan",
     ),
     "rewrite_views": f"select 'v' || {_K} as view_name, {_NEW_TEXT} as new_text from supplier",
     "check_views": f"""select 'S' || (s_suppkey % 4) as src_schema, 'v' || {_K} as view_name,

@@ -25,6 +25,11 @@ TARGET = g.Target("main", ["sales", "Finance"], {"sales": "sales_uc"})
         ("select `it's` from sales.t where a = 'x'", "select `it's` from main.`sales_uc`.t where a = 'x'"),
         ("select x from cat.sales.t, my_hive_metastore.sales.t", "select x from cat.sales.t, my_hive_metastore.sales.t"),
         ("select sales.c from t", "select sales.c from t"),
+        ("select extract(year from sales.ts) from sales.t", "select extract(year from sales.ts) from main.`sales_uc`.t"),
+        ("select trim(both 'x' from sales.c) from finance.t", "select trim(both 'x' from sales.c) from main.`finance`.t"),
+        ("with sales as (select 1) select * from sales", "with sales as (select 1) select * from sales"),
+        ("select 'open from sales.t", "select 'open from main.`sales_uc`.t"),
+        ("", ""),
         (None, None),
     ],
 )
@@ -46,6 +51,9 @@ def test_view_check(spark, rows):
         ("s", "legacy", "select * from a join `Hive_Metastore` . s . t"),
         ("s", "bare", "select * from a.b c, sales.t"),
         ("s", "quoted", "select 'from sales.t' from x"),
+        ("s", "call", "select extract(year from sales.ts) from main.`sales_uc`.t"),
+        ("s", "with", "with `sales` as (select 1), b as (select 2) select * from sales, b, main.x.y"),
+        ("s", "odd", "select * from `a,b`.`c``d` x, `sales`.t"),
     ]
     df = spark.createDataFrame(data, "src_schema string, view_name string, new_text string").withColumn("view_text", F.col("new_text"))
     got = {r.view_name: (r.status, r.message) for r in g.check_views(df, TARGET).collect()}
@@ -54,6 +62,9 @@ def test_view_check(spark, rows):
         "legacy": ("FAILED", "View still references Hive_Metastore.s.t after rewrite"),
         "bare": ("FAILED", "Unqualified reference sales.t points at renamed schema 'sales'; qualify it as main.sales_uc.t"),
         "quoted": ("OK", None),
+        "call": ("OK", None),
+        "with": ("OK", None),
+        "odd": ("FAILED", "Unqualified reference sales.t points at renamed schema 'sales'; qualify it as main.sales_uc.t"),
     }
 
 
@@ -64,6 +75,18 @@ def test_view_levels_with_cycle(spark, rows):
     assert levels == [("a", 1, "OK"), ("b", 2, "OK"), ("c", 3, "OK"), ("d", None, "FAILED"), ("e", None, "FAILED"), ("f", None, "FAILED")]
 
 
+def test_view_chain_longer_than_fifty(spark):
+    df = spark.createDataFrame([(f"v{i}", f"v{i - 1}") for i in range(1, 56)], "view string, depends_on string")
+    got = {r.view: r.level for r in g.view_levels(df.select("view"), df).collect()}
+    assert got == {f"v{i}": i for i in range(1, 56)}
+
+
+def test_equal_mount_prefixes(spark):
+    mounts = spark.createDataFrame([("/mnt/a", "s1://x"), ("/mnt/a/", "s2://x/")], "mount_point string, source string")
+    paths = spark.createDataFrame([("dbfs:/mnt/a/t",)], "location string")
+    assert g.resolve_mount(paths, mounts).first().cloud_path == "s2://x/t"
+
+
 def test_mounts_and_methods(spark):
     mounts = spark.createDataFrame(
         [("/mnt/a", "abfs://c@x.dfs/"), ("/mnt/a/deep/", "abfss://d@x.dfs"), ("/mnt/b", "wasbs://c@acc.blob.core"), ("/mnt/g1", "adl://x"), ("/", "root")],
