@@ -228,9 +228,9 @@ def scope_workspace(
 
 
 def enrichment_candidates(
-    periods: DataFrame, window: Lookback, workspace: str, scope: str = "sporadic_triage", limit: int = 50
+    periods: DataFrame, window: Lookback, workspace: str, scope: str = "sporadic_triage"
 ) -> DataFrame:
-    """The newest failed runs worth a closer look, one row per run.
+    """Failed runs worth a closer look, one row per run.
 
     ``sporadic_triage`` keeps jobs with 1-4 execution-error *period rows*;
     ``all_exec_errors`` and ``all_failures`` keep every such run.
@@ -245,9 +245,4 @@ def enrichment_candidates(
     if scope == "sporadic_triage":
         few = kept.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n between 1 and 4")
         kept = kept.join(few, "job_id", "left_semi")
-    return (
-        latest_by(kept, ["run_id"], ["period_end_time"])
-        .withColumn("run_date", F.to_date("period_end_time"))
-        .orderBy(F.col("period_end_time").desc(), F.col("run_id"))
-        .limit(limit)
-    )
+    return latest_by(kept, ["run_id"], ["period_end_time"]).withColumn("run_date", F.to_date("period_end_time"))

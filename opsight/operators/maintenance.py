@@ -67,7 +67,9 @@ def table_scope(
 
 def missing_schemas(tables: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Requested schemas that do not exist."""
-    return _names(tables.sparkSession, wanted, "schema_name").join(tables, "schema_name", "left_anti")
+    return _names(tables.sparkSession, wanted, "schema_name").join(
+        tables.select("schema_name").distinct(), "schema_name", "left_anti"
+    )
 
 
 def db_scope(databases: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -115,19 +117,13 @@ def removable_since(history: DataFrame, vacuumed: DataFrame) -> DataFrame:
     )
 
 
-def estimate_removable(df: DataFrame, size_threshold_gb: float = 100.0) -> DataFrame:
-    """Small tables trust the dry run when it worked; the rest use the history."""
-    small = F.col("size_bytes") <= int(size_threshold_gb * 1024**3)
+def estimate_removable(df: DataFrame) -> DataFrame:
+    """The dry run's number where it worked, else the history's, whatever the table's size."""
+    fallback = F.concat(F.lit("history_fallback ("), F.col("dry_run_error"), F.lit(")"))
     method = first_match(
-        [
-            (small & F.col("dry_run_files").isNotNull(), "dry_run"),
-            (small, F.concat(F.lit("history_fallback ("), F.coalesce("dry_run_error", F.lit("no dry run")), F.lit(")"))),
-        ],
-        "history",
-    )
-    files = F.when(F.col("estimation_method") == "dry_run", F.col("dry_run_files")).otherwise(
-        F.coalesce("removable_files", F.lit(0))
+        [(F.col("dry_run_files").isNotNull(), "dry_run"), (F.col("dry_run_error").isNotNull(), fallback)], "history"
     )
+    files = F.coalesce("dry_run_files", "removable_files", F.lit(0))
     return df.withColumn("estimation_method", method).withColumn("est_files_to_clean", files)
 
 
@@ -183,7 +179,6 @@ def vacuum_candidates(
     dry_run: DataFrame,
     as_of: datetime,
     catalog: str,
-    size_threshold_gb: float = 100.0,
 ) -> DataFrame:
     """One row per table in scope, best candidate first; a table without detail keeps an error row."""
     vacuumed = last_vacuum(history)
@@ -207,7 +202,7 @@ def vacuum_candidates(
             }
         )
     )
-    scored = candidate_score(estimate_removable(joined, size_threshold_gb), as_of)
+    scored = candidate_score(estimate_removable(joined), as_of)
     known = F.col("_described").isNotNull()
     blanked = [c for c in CANDIDATE_COLUMNS[7:15] if c != "days_since_last_vacuum"] + ["days_since_last_vacuum"]
     return (
@@ -237,10 +232,14 @@ def top_candidates(candidates: DataFrame, n: int = 50) -> DataFrame:
 
 
 def failed_steps(scope: DataFrame, collected: dict[str, DataFrame]) -> DataFrame:
-    """Tables in scope for which a collection step returned nothing, one row per step."""
+    """Tables in scope for which a collection step returned nothing, one row per step.
+
+    What a step returned is reduced to its table names first: a table with most of the
+    history is one row of the anti join.
+    """
     parts = [
         scope.select("table_name")
-        .join(df, "table_name", "left_anti")
+        .join(df.select("table_name").distinct(), "table_name", "left_anti")
         .select("table_name", F.lit(step).alias("step"), F.lit("no rows collected").alias("error"))
         for step, df in collected.items()
     ]

@@ -30,8 +30,6 @@ NO_OUTPUT = "[get-output unavailable]"
 NO_CHILD = "[child run unavailable]"
 NO_RUN = "[run detail unavailable]"
 FAILED = ["FAILED", "ERROR", "TIMEDOUT"]
-TRACE_LENGTH = 4000
-SAMPLE_LENGTH = 180
 REASONS = [
     (
         "Cascading skip (upstream failed)",
@@ -374,7 +372,7 @@ def enriched_errors(
             F.when(~lost, F.col("error")).alias("error"),
             F.when(~lost, F.col("error_trace")).alias("error_trace"),
             F.when(~lost, F.col("resolved_error")).alias("resolved_error"),
-            F.when(~lost, F.substring("resolved_trace", 1, TRACE_LENGTH)).alias("resolved_trace"),
+            F.when(~lost, F.col("resolved_trace")).alias("resolved_trace"),
             F.when(~lost, F.col("resolved_via")).alias("resolved_via"),
             F.col("resolved_depth").alias("depth"),
             "run_page_url",
@@ -407,7 +405,7 @@ def reason_rollup(classified: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("failed_runs"),
             F.countDistinct("job_id").alias("distinct_jobs"),
-            F.left(F.min("msg"), F.lit(SAMPLE_LENGTH)).alias("sample_message"),
+            F.min("msg").alias("sample_message"),
         )
         .withColumn("recommendation", advice)
         .orderBy(F.col("failed_runs").desc())
@@ -423,15 +421,15 @@ def run_summary(stages: dict[str, DataFrame], enriched: DataFrame, reasons: Data
     """One row: rows per stage, how much was enriched, a sample error, and the reasons as JSON."""
     real = _real("resolved_error") | _real("error")
     drilled = (F.col("depth") > 0) & _real("resolved_error")
-    cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(300)).alias(c)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     traced = _filled(F.col("error_trace")).isNotNull() | _filled(F.col("resolved_trace")).isNotNull()
     sample = F.struct(
         "run_id",
         "job_id",
         "task_key",
-        cut("state_message"),
-        cut("error"),
-        cut("resolved_error"),
+        text("state_message"),
+        text("error"),
+        text("resolved_error"),
         "resolved_via",
         "depth",
         traced.alias("error_trace_present"),

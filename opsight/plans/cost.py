@@ -238,7 +238,7 @@ total as (select warehouse_id, sum(total_task_duration_ms) as wh_ms from recent
 mine as (select warehouse_id, executed_by, space_id, sum(total_task_duration_ms) as ms from recent
   where space_id = '{SPACE}' group by all),
 units as (select warehouse_id, sku_name, cloud, sum(usage_quantity) as n from fx_usage
-  where usage_start_time >= {_FROM_MIDNIGHT} and warehouse_id is not null group by all),
+  where usage_start_time >= {_FROM_MIDNIGHT} and warehouse_id is not null and billing_origin_product = 'SQL' group by all),
 price as (select * from (select *, row_number() over (partition by sku_name, cloud order by price_start_time desc) as rn
   from fx_prices where price_end_time is null or price_end_time > {_FROM_MIDNIGHT}) p where rn = 1),
 bill as (select u.warehouse_id, sum(u.n) as wh_units, sum(u.n * coalesce(p.price_effective, 0)) as wh_cost

@@ -17,8 +17,8 @@ def _errors(t: Inputs):
     return f.execution_errors(t.logical("fx_job_periods"), t.window(DAYS))
 
 
-def _candidates(t: Inputs):
-    kept = f.enrichment_candidates(t.logical("fx_job_periods"), t.window(DAYS), WORKSPACE)
+def _candidates(t: Inputs, scope: str = "sporadic_triage"):
+    kept = f.enrichment_candidates(t.logical("fx_job_periods"), t.window(DAYS), WORKSPACE, scope)
     return kept.select("run_id", "job_id", "termination_code", "result_state", "run_date")
 
 
@@ -52,6 +52,8 @@ QUERIES = {
         ).select("workspace_id", "run_id", "run_type", "result_state")
     ),
     "enrichment_candidates": query(_candidates),
+    "all_exec_error_candidates": query(lambda t: _candidates(t, "all_exec_errors")),
+    "all_failure_candidates": query(lambda t: _candidates(t, "all_failures")),
 }
 
 
@@ -107,6 +109,17 @@ LATEST_JOB = """latest_job as (select workspace_id, job_id, name from (
   select *, row_number() over (partition by workspace_id, job_id order by change_time desc, name desc) as rn
   from fx_jobs) j where rn = 1)"""
 
+def _candidates_sql(scope: str, jobs: str = "true") -> str:
+    return oracle(
+        "fx_job_periods",
+        f"scoped as (select * from fx_job_periods where {scope} and workspace_id = '{WORKSPACE}')",
+        f"""last_rows as (select *, row_number() over (partition by run_id order by period_end_time desc) as rn
+  from scoped where {jobs})""",
+        """select run_id, job_id, termination_code, result_state, cast(period_end_time as date) as run_date
+from last_rows where rn = 1""",
+    )
+
+
 ORACLE = {
     "terminal_runs": oracle(
         "fx_job_periods",
@@ -150,14 +163,10 @@ order by e.failed_runs desc, e.job_id, e.workspace_id limit 25""",
         """select workspace_id, run_id, run_type, result_state from fx_job_periods
 where workspace_id in (select workspace_id from fx_workspaces where workspace_name = 'NATION_2')""",
     ),
-    "enrichment_candidates": oracle(
-        "fx_job_periods",
-        f"""scoped as (select * from fx_job_periods where {SCOPE} and workspace_id = '{WORKSPACE}'
-  and termination_code = '{f.EXECUTION_ERROR}')""",
-        """few as (select job_id from scoped group by job_id having count(*) between 1 and 4)""",
-        """last_rows as (select *, row_number() over (partition by run_id order by period_end_time desc) as rn
-  from scoped where job_id in (select job_id from few))""",
-        """select run_id, job_id, termination_code, result_state, cast(period_end_time as date) as run_date
-from last_rows where rn = 1 order by period_end_time desc, run_id limit 50""",
+    "enrichment_candidates": _candidates_sql(
+        f"{SCOPE} and termination_code = '{f.EXECUTION_ERROR}'",
+        "job_id in (select job_id from scoped group by job_id having count(*) between 1 and 4)",
     ),
+    "all_exec_error_candidates": _candidates_sql(f"{SCOPE} and termination_code = '{f.EXECUTION_ERROR}'"),
+    "all_failure_candidates": _candidates_sql(f"{SCOPE} and result_state in ('FAILED', 'ERROR', 'TIMEDOUT')"),
 }

@@ -110,9 +110,9 @@ REMOVABLE = """removable as (select h.table_name,
 CANDIDATES = f"""joined as (select d.schema_name, d.table_name, d.size_in_bytes as size_bytes, d.num_files, l.last_vacuum_ts,
   (epoch_us({_NOW}) - epoch_us(l.last_vacuum_ts)) / 86400e6 as days_since_last_vacuum, l.last_vacuum_ts is not null as ever_vacuumed,
   cast(coalesce(r.ops_since_last_vacuum, 0) as int) as ops_since_last_vacuum,
-  case when d.size_in_bytes <= 107374182400 and y.dry_run_files is not null then 'dry_run'
-    when d.size_in_bytes <= 107374182400 then 'history_fallback (' || coalesce(y.dry_run_error, 'no dry run') || ')' else 'history' end as estimation_method,
-  case when d.size_in_bytes <= 107374182400 and y.dry_run_files is not null then y.dry_run_files else coalesce(r.removable_files, 0) end as est_files_to_clean
+  case when y.dry_run_files is not null then 'dry_run'
+    when y.dry_run_error is not null then 'history_fallback (' || y.dry_run_error || ')' else 'history' end as estimation_method,
+  coalesce(y.dry_run_files, r.removable_files, 0) as est_files_to_clean
   from fx_table_detail d left join last_vacuum l on d.table_name = l.table_name left join removable r on d.table_name = r.table_name
   left join fx_dry_run y on d.table_name = y.table_name where d.table_type = 'EXTERNAL' and upper(d.data_source_format) = 'DELTA'),
 candidates as (select 'main' as catalog, schema_name as schema, table_name as "table", 'main.' || schema_name || '.' || table_name as full_name,

@@ -126,7 +126,7 @@ mine as (select * from terminal where result_state in ('FAILED', 'ERROR', 'TIMED
 found as (select * from u2 where not solo union all select * from u0 where solo),
 enriched as (select m.workspace_id, w.workspace_name, m.run_id, m.job_id, m.run_date, m.termination_code, x.task_key, x.unit as task_run_id,
   case when g.run_id is null then '{rc.NO_RUN}' else x.state_message end as state_message, x.error, x.error_trace, x.re as resolved_error,
-  left(x.rt, 4000) as resolved_trace, case when x.solo then 'run_output' else x.rv end as resolved_via, coalesce(x.rd, 0) as depth, g.run_page_url
+  x.rt as resolved_trace, case when x.solo then 'run_output' else x.rv end as resolved_via, coalesce(x.rd, 0) as depth, g.run_page_url
   from mine m left join fx_runs g on m.run_id = g.run_id left join found x on g.run_id = x.run_id
   left join fx_workspaces w on m.workspace_id = w.workspace_id)"""
 
@@ -161,7 +161,7 @@ ORACLE = {
     "reason_rollup": oracle(
         "fx_task_errors", _reason("fx_task_errors"),
         f"""select code_failure_reason, count(*) as failed_runs, count(distinct job_id) as distinct_jobs,
-  left(min(msg), 180) as sample_message, case code_failure_reason {_ADVICE} else '{rc.OTHER_ADVICE}' end as recommendation
+  min(msg) as sample_message, case code_failure_reason {_ADVICE} else '{rc.OTHER_ADVICE}' end as recommendation
 from classified group by code_failure_reason""",
     ),
     "run_summary": oracle(

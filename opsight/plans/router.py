@@ -8,7 +8,7 @@ from opsight.operators import ingest as i
 from opsight.operators import router as r
 from opsight.plans.common import AS_OF, Inputs, oracle, query
 from opsight.scratch import scratch_path
-from opsight.sources.keyed_sink import KeyedSink
+from opsight.sources.batch_log import BatchLog
 from opsight.streaming import ingest as si
 from opsight.streaming import router as sr
 
@@ -38,7 +38,7 @@ def _stream(t: Inputs):
     spark = t.spark
     source, sink_path, checkpoint = (scratch_path(spark, n) for n in ("emitted", "sink", "checkpoint"))
     emitted = _emissions(t)
-    sink = KeyedSink(spark, sink_path, emitted.schema, KEY, TS, buckets=8, tie=TIE)
+    sink = BatchLog(spark, sink_path, emitted.schema, KEY, TS, TIE)
     for drop in (["stale", "undated"], None, ["corrected", "stale"]):
         part = emitted.filter(F.col("status").isin(drop)) if drop else emitted.filter(F.col("status") != "undated")
         part.write.mode("append").parquet(source)
@@ -59,11 +59,18 @@ def _mapping(t: Inputs):
     return config.join(t.logical("fx_report_dependencies"), "report_id")
 
 
-def _some_payloads(t: Inputs):
-    """Payloads of one run: the updates seen in the last hour."""
-    start = t.window(0).as_of
-    recent = F.col("observed_ts") >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz") - F.expr("interval 1 hour")
-    return t.logical("fx_update_events").filter(recent).select("run_id", "updated_tables")
+def _payloads(t: Inputs):
+    """All update payloads."""
+    return t.logical("fx_update_events").select("run_id", "updated_tables")
+
+
+def _hourly(t: Inputs):
+    """One payload per hour of observation: the tables updated in it, each once."""
+    seen = t.logical("fx_update_events").withColumn("run_id", F.unix_micros(F.col("observed_ts").cast("timestamp")))
+    hour = F.floor(F.col("run_id") / F.lit(3_600_000_000)).alias("run_id")
+    names = r.parse_updates(seen.select(hour, "updated_tables")).distinct()
+    listed = F.to_json(F.array_sort(F.collect_list("source_table"))).alias("updated_tables")
+    return names.groupBy("run_id").agg(listed)
 
 
 def _due(t: Inputs, force: bool = False):
@@ -77,7 +84,7 @@ def _due(t: Inputs, force: bool = False):
 
 
 def _table_state(t: Inputs):
-    updates = r.parse_updates(_some_payloads(t))
+    updates = r.parse_updates(_payloads(t))
     return r.upsert_table_state(t.logical("fx_table_state"), updates, t.as_of(), RUN)
 
 
@@ -87,7 +94,7 @@ def _report_state(t: Inputs):
 
 
 def _audit(t: Inputs):
-    return r.audit(r.refresh_list(_mapping(t), _some_payloads(t)), t.as_of())
+    return r.audit(r.refresh_list(_mapping(t), _hourly(t)), t.as_of())
 
 
 def _route(t: Inputs):
@@ -95,7 +102,7 @@ def _route(t: Inputs):
     spark = t.spark
     names = ("updates", "state", "checkpoint", "decisions")
     source, state_path, checkpoint, out = (scratch_path(spark, n) for n in names)
-    state = sr.state_sink(spark, state_path)
+    state = sr.state_log(spark, state_path)
     config, deps, marks = (t.logical(n) for n in ("fx_report_config", "fx_report_dependencies", "fx_report_state"))
     events = t.logical("fx_update_events").select(*sr.EVENTS.fieldNames())
     for drop in (F.col("run_id") % 2 == 0, F.col("run_id") % 2 == 1):
@@ -111,9 +118,9 @@ QUERIES = {
     "ingest_stream": query(_stream),
     "ingest_reconcile": query(_reconcile),
     "updated_tables": query(lambda t: r.parse_updates(t.logical("fx_updates"))),
-    "match_reports": query(lambda t: r.match_reports(_mapping(t), r.parse_updates(_some_payloads(t)))),
-    "refresh_list": query(lambda t: r.refresh_list(_mapping(t), _some_payloads(t))),
-    "refresh_list_named": query(lambda t: r.refresh_list_named(_mapping(t), _some_payloads(t))),
+    "match_reports": query(lambda t: r.match_reports(_mapping(t), r.parse_updates(_payloads(t)))),
+    "refresh_list": query(lambda t: r.refresh_list(_mapping(t), _hourly(t))),
+    "refresh_list_named": query(lambda t: r.refresh_list_named(_mapping(t), _hourly(t))),
     "table_state": query(_table_state),
     "report_due": query(_due),
     "report_due_forced": query(lambda t: _due(t, True)),
@@ -141,7 +148,10 @@ UPDATES = """listed as (select *, case when starts_with(trim(updated_tables), '[
   then list_filter(list_transform(from_json(updated_tables, '["VARCHAR"]'), lambda x: lower(trim(x))), lambda x: x <> '') else [] end as names
   from payloads),
 updates as (select distinct run_id, unnest(names) as source_table from listed)"""
-RECENT = f"payloads as (select * from fx_update_events where observed_ts >= {AS_OF} - interval 1 hour)"
+ALL = "payloads as (select * from fx_update_events)"
+HOURLY = """seen as (select epoch_us(observed_ts) // 3600000000 as run_id, unnest(case when starts_with(trim(updated_tables), '[') and json_valid(updated_tables)
+  then list_transform(from_json(updated_tables, '["VARCHAR"]'), lambda x: lower(trim(x))) else [] end) as source_table from fx_update_events),
+payloads as (select run_id, to_json(list_sort(list(distinct source_table))) as updated_tables from seen where source_table <> '' group by run_id)"""
 MAPPING = """mapping as (select c.report_id, c.report_name, c.enabled, d.source_table from fx_report_config c
   join fx_report_dependencies d on c.report_id = d.report_id)"""
 REFRESH = """refreshed as (select m.report_id, m.report_name, m.source_table, u.run_id,
@@ -182,18 +192,18 @@ ORACLE = {
         "fx_updates", "payloads as (select * from fx_updates)", UPDATES, "select run_id, source_table from updates"
     ),
     "match_reports": oracle(
-        _RF, RECENT, UPDATES, MAPPING,
+        _RF, ALL, UPDATES, MAPPING,
         """select report_id, bool_or(lower(source_table) in (select source_table from updates)) as refresh
 from mapping where enabled group by report_id""",
     ),
-    "refresh_list": oracle(_RF, RECENT, UPDATES, MAPPING, REFRESH, "select * from refreshed"),
+    "refresh_list": oracle(_RF, HOURLY, UPDATES, MAPPING, REFRESH, "select * from refreshed"),
     "refresh_list_named": oracle(
-        _RF, RECENT, UPDATES, MAPPING, REFRESH,
+        _RF, HOURLY, UPDATES, MAPPING, REFRESH,
         """select * exclude (source_table), split_part(source_table, '.', 1) as catalog, split_part(source_table, '.', 2) as schema,
   split_part(source_table, '.', 3) as "table" from refreshed""",
     ),
     "table_state": oracle(
-        "fx_table_state fx_update_events", RECENT, UPDATES,
+        "fx_table_state fx_update_events", ALL, UPDATES,
         "named as (select distinct source_table from updates)",
         f"""select coalesce(s.source_table, n.source_table) as source_table,
   case when n.source_table is null then s.last_updated_ts else {AS_OF} end as last_updated_ts,
@@ -215,7 +225,7 @@ from fx_table_state s full outer join named n on lower(s.source_table) = n.sourc
 from fx_report_state s full outer join (select report_id from due where is_due) d on s.report_id = d.report_id""",
     ),
     "refresh_audit": oracle(
-        _RF, RECENT, UPDATES, MAPPING, REFRESH,
+        _RF, HOURLY, UPDATES, MAPPING, REFRESH,
         f"""select run_id, report_id, report_name, triggering_tables, {AS_OF} as refreshed_at, 'SUCCESS' as status
 from refreshed""",
     ),

@@ -47,6 +47,7 @@ select cast(user_id % 5 as string) as workspace_id, case when hour(ts) = 3 then
   concat('ep_', cast(user_id % 40 as string)) as endpoint_id, 'AZURE' as cloud,
   case event_type when 'purchase' then 'PREMIUM_JOBS_COMPUTE' when 'view' then 'PREMIUM_ALL_PURPOSE_COMPUTE' when 'click' then 'PREMIUM_SQL_PRO'
     when 'signup' then 'PREMIUM_MODEL_SERVING' else 'PREMIUM_MODEL_INFERENCE' end as sku_name,
+  case event_type when 'purchase' then 'JOBS' when 'view' then 'ALL_PURPOSE' when 'click' then 'SQL' else 'MODEL_SERVING' end as billing_origin_product,
   'DBU' as usage_unit, floor(value * 100) / 10000 as usage_quantity, ts as usage_start_time, ts as usage_end_time, cast(ts as date) as usage_date
 from {events}
 """,

@@ -34,7 +34,6 @@ def query_history(df: DataFrame, space_field: str = "query_source.space_id") ->
 
 
 def usage(df: DataFrame) -> DataFrame:
-    kept = [c for c in ("billing_origin_product",) if c in df.columns]
     return df.select(
         "workspace_id",
         F.col("usage_metadata.warehouse_id").alias("warehouse_id"),
@@ -48,7 +47,7 @@ def usage(df: DataFrame) -> DataFrame:
         _ntz("usage_start_time").alias("usage_start_time"),
         _ntz("usage_end_time").alias("usage_end_time"),
         "usage_date",
-        *kept,
+        "billing_origin_product",
     )
 
 

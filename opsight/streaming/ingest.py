@@ -1,4 +1,4 @@
-"""The ingestion stream: drain what is available, upsert each micro-batch, stop."""
+"""The ingestion stream: drain what is available, log each micro-batch, stop."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from opsight.sources.keyed_sink import KeyedSink
+from opsight.sources.batch_log import BatchLog
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -20,23 +20,23 @@ def ingest(
     spark: SparkSession,
     source: str,
     schema: T.StructType,
-    sink: KeyedSink,
+    log: BatchLog,
     checkpoint: str,
     max_files_per_trigger: int | None = None,
 ) -> None:
-    """Copy new files of ``source`` into ``sink``; safe to run again at any time."""
+    """Copy new files of ``source`` into ``log``; safe to run again at any time."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        sink.apply(batch, stream_id(spark, checkpoint), batch_id)
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        log.put(batch, stream_id(spark, checkpoint), batch_id)
 
     (
         reader.parquet(source)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(fold)
+        .foreachBatch(keep)
         .start()
         .awaitTermination()
     )

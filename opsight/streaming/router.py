@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsight.operators.router import decisions, evaluate_due, parse_updates
-from opsight.sources.keyed_sink import KeyedSink
+from opsight.sources.batch_log import BatchLog
 from opsight.streaming.ingest import stream_id
 
 EVENTS = T.StructType(
@@ -26,8 +26,8 @@ STATE = T.StructType(
 )
 
 
-def state_sink(spark: SparkSession, path: str, buckets: int = 8) -> KeyedSink:
-    return KeyedSink(spark, path, STATE, "source_table", "last_updated_ts", buckets, tie=["last_run_id"])
+def state_log(spark: SparkSession, path: str) -> BatchLog:
+    return BatchLog(spark, path, STATE, "source_table", "last_updated_ts", tie=["last_run_id"])
 
 
 def fold_updates(events: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def fold_updates(events: DataFrame) -> DataFrame:
 def route_stream(
     spark: SparkSession,
     source: str,
-    state: KeyedSink,
+    state: BatchLog,
     config: DataFrame,
     dependencies: DataFrame,
     report_state: DataFrame,
@@ -62,7 +62,7 @@ def route_stream(
         newest = batch.agg(F.max("observed_ts")).first()[0]
         if newest is None:
             return
-        state.apply(fold_updates(batch), stream_id(spark, checkpoint), batch_id)
+        state.put(fold_updates(batch), stream_id(spark, checkpoint), batch_id)
         due = evaluate_due(config, dependencies, state.read(), report_state)
         decided = decisions(due, newest).join(due.select("report_id", "reason"), "report_id")
         decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

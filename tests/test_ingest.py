@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from opsight.operators import ingest as i
 from opsight.scratch import scratch_path
-from opsight.sources.keyed_sink import KeyedSink
+from opsight.sources.batch_log import BatchLog
 from opsight.sources.sinks import append_snapshot, copy_table, overwrite
 from opsight.streaming.ingest import ingest
 
@@ -37,7 +37,7 @@ def test_update_condition(spark, rows, old, new, kept):
     assert rows(i.upsert(target, batch, "id", "ts"), "id", "v") == [(1, kept), (2, "x")]
 
 
-def test_sink_ignores_order_and_replay(spark, rows):
+def test_log_ignores_order_and_replay(spark, rows):
     rnd = random.Random(5)
     data = [row(k, m, f"{k}-{m}") for k in range(12) for m in rnd.sample(range(60), 3)]
     newest = {}
@@ -46,32 +46,28 @@ def test_sink_ignores_order_and_replay(spark, rows):
     want = sorted(((k, v) for k, (_, v) in newest.items()), key=repr)
     for seed in (1, 2):
         random.Random(seed).shuffle(data)
-        sink = KeyedSink(spark, scratch_path(spark, "sink"), SCHEMA, "id", "ts", buckets=4)
+        log = BatchLog(spark, scratch_path(spark, "log"), SCHEMA, "id", "ts")
+        assert log.read().count() == 0
         for n in range(3):
-            assert sink.apply(spark.createDataFrame(data[n * 12 : n * 12 + 12] + data[:2], SCHEMA), "s", n)
-        assert not sink.apply(spark.createDataFrame([row(0, 999, "replayed")], SCHEMA), "s", 2)
-        assert rows(sink.read(), "id", "v") == want
-        assert sink.apply(spark.createDataFrame(data[:5], SCHEMA), "other-stream", 0)
-        sink.expire(1)
-        assert rows(sink.read(), "id", "v") == want and len(sink._manifests()) == 1
-
-
-def test_batch_that_failed_before_publishing_is_repeated(spark, rows, monkeypatch):
-    sink = KeyedSink(spark, scratch_path(spark, "sink"), SCHEMA, "id", "ts", buckets=2)
-    sink.apply(spark.createDataFrame([row(1, 1, "a"), row(2, 1, "b")], SCHEMA), "s", 0)
-    batch = spark.createDataFrame([row(1, 2, "c")], SCHEMA)
-    with monkeypatch.context() as m:
-        m.setattr(sink, "_publish", lambda manifest: (_ for _ in ()).throw(RuntimeError("lost driver")))
-        with pytest.raises(RuntimeError):
-            sink.apply(batch, "s", 1)
-    assert rows(sink.read(), "id", "v") == [(1, "a"), (2, "b")]
-    assert sink.apply(batch, "s", 1)
-    assert rows(sink.read(), "id", "v") == [(1, "c"), (2, "b")]
+            batch = spark.createDataFrame(data[n * 12 : n * 12 + 12] + data[:2], SCHEMA)
+            log.put(batch, "s", n)
+            log.put(batch, "s", n)  # repeated after a failure
+        assert rows(log.read(), "id", "v") == want
+        log.put(spark.createDataFrame(data[:5], SCHEMA), "other-stream", 0)
+        assert rows(log.read(), "id", "v") == want
+
+
+def test_log_keeps_the_first_of_equal_times_and_the_last_without(spark, rows):
+    log = BatchLog(spark, scratch_path(spark, "log"), SCHEMA, "id", "ts")
+    log.put(spark.createDataFrame([row(1, 5, "first"), row(2, None, "undated"), row(3, None, "x")], SCHEMA), "s", 9)
+    log.put(spark.createDataFrame([row(1, 5, "second"), row(2, None, "later"), row(3, 1, "dated")], SCHEMA), "s", 10)
+    log.put(spark.createDataFrame([row(3, None, "undated again"), row(1, 4, "late")], SCHEMA), "s", 11)
+    assert rows(log.read(), "id", "v") == [(1, "first"), (2, "later"), (3, "dated")]
 
 
 def test_stream_restarts_from_its_checkpoint(spark, rows):
     source, path, checkpoint = (scratch_path(spark, n) for n in ("src", "sink", "check"))
-    sink = KeyedSink(spark, path, SCHEMA, "id", "ts", buckets=2)
+    sink = BatchLog(spark, path, SCHEMA, "id", "ts")
     for batch in ([row(1, 5, "a"), row(2, 1, "b")], [row(1, 4, "late"), row(2, 3, "c")], [row(1, 5, "again"), row(3, 0, "d")]):
         spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         ingest(spark, source, SCHEMA, sink, checkpoint, max_files_per_trigger=1)

@@ -110,8 +110,8 @@ def test_removable_files_and_candidates(spark):
     dry = spark.createDataFrame([("t", 5, None), ("n", 5, None), ("quiet", None, "Timeout")], "table_name string, dry_run_files long, dry_run_error string")
     rows = {r.table: r for r in m.vacuum_candidates(scope, detail, history, dry, NOW, "main").collect()}
     assert (rows["t"].estimation_method, rows["t"].est_files_to_clean) == ("dry_run", 5)
-    assert (rows["n"].estimation_method, rows["n"].candidate_score) == ("history", 4000.0)
-    assert rows["n"].reason == "never vacuumed; ~2,000 removable files; 1 mutating op(s) since last VACUUM (VACUUM ops excluded to prevent double-counting)"
+    assert (rows["n"].estimation_method, rows["n"].candidate_score) == ("dry_run", 10.0)
+    assert rows["n"].reason == "never vacuumed; ~5 removable files; 1 mutating op(s) since last VACUUM (VACUUM ops excluded to prevent double-counting)"
     assert rows["t"].reason.startswith("last VACUUM 8.0d ago; ~5 removable files; 2 mutating")
     assert rows["quiet"].estimation_method == "history_fallback (Timeout)" and rows["quiet"].reason == "never vacuumed"
     assert rows["lost"].error and rows["lost"].candidate_score is None and rows["lost"].reason is None
