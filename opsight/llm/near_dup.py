@@ -14,8 +14,8 @@ the full sets. No bucket is emitted as all its pairs:
 3. Buckets whose nodes are then connected are done. In the others, nodes of different
    components are compared by their signatures in blocks of bounded size, in tasks that
    hold two blocks. Pairs whose estimate is not far below the limit (a miss is less likely
-   than one in banding) are candidates, of which a task gives only a spanning forest: the
-   components of these forests are families that hold both ends of every candidate pair.
+   than one in banding) are candidates, of which a task gives only stars that span them: the
+   components of these stars are families that hold both ends of every candidate pair.
 4. Families are compared in blocks in the same way, now with full sets, and a task gives
    one confirmed link for every two components that it joins. The rows made are so at most
    in proportion to the nodes and blocks, never to the pairs.
@@ -164,20 +164,20 @@ def _pairs(rows: dict[str, np.ndarray], found: list[tuple[int, int]]) -> pa.Reco
 
 
 def _compare(similarity: float):
-    """Of each run, a forest that spans the candidate pairs across components."""
+    """Of each run, stars (the least node and each other) that span the candidate pairs across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 3):
-            coords, found = _coords(rows), []
-            tree = np.arange(len(coords))
+            coords, tree = _coords(rows), np.arange(len(rows["node"]))
             for i in range(len(coords) - 1):
-                j = _partners(rows, rows["component"], coords, i, similarity)
-                for t, first in zip(*np.unique(tree[j], return_index=True), strict=True):
-                    if t != tree[i]:
-                        found.append((i, int(j[first])))
-                        tree[tree == t] = tree[i]
-            if found:
-                yield _pairs(rows, found)
+                for t in np.unique(tree[_partners(rows, rows["component"], coords, i, similarity)]):
+                    tree[tree == t] = tree[i]
+            least = np.full(len(tree), np.iinfo(np.int64).max)
+            np.minimum.at(least, tree, rows["node"])
+            others = rows["node"] != least[tree]
+            if others.any():
+                pair = [pa.array(least[tree][others]), pa.array(rows["node"][others])]
+                yield pa.RecordBatch.from_arrays(pair, ["u", "v"])
 
     return run
 
