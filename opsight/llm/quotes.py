@@ -115,29 +115,29 @@ def _links(units: DataFrame) -> DataFrame:
 def _rooted(messages: DataFrame) -> DataFrame:
     """``_key``, ``_root``, ``_depth`` by pointer jumping over ``_key``, ``_parent``.
 
-    Links may only form circles over scopes that order messages differently; what is still
-    unresolved when a round resolves nothing is a root of its own.
+    A round replaces the ancestor of every message that has not reached its root by the
+    ancestor of that. Links may form a circle over scopes only; what is left when a round
+    brings nobody to a root is a root of its own.
     """
-    open_ = messages.filter("_parent is not null").select("_key", F.col("_parent").alias("_up"), F.lit(1).cast("long").alias("_depth"))
-    roots = messages.filter("_parent is null").select("_key", F.col("_key").alias("_root"), F.lit(0).cast("long").alias("_depth"))
-    done = [roots]
-    open_, left = materialize(open_, "quotes-open"), None
-    while True:
-        n = open_.count()
-        if n == 0 or n == left:
-            done.append(open_.select("_key", F.col("_key").alias("_root"), F.lit(0).cast("long").alias("_depth")))
-            break
+    top = F.col("_parent").isNull()
+    state = messages.select(
+        "_key", F.coalesce("_parent", "_key").alias("_root"), (~top).cast("long").alias("_depth"), top.alias("_done")
+    )
+    state, left = materialize(state, "quotes-roots"), None
+    while (n := state.filter("not _done").count()) not in (0, left):
         left = n
-        above = open_.select(F.col("_key").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"))
-        jumped = open_.join(above, "_up", "left")
-        done.append(jumped.filter("_next is null").select("_key", F.col("_up").alias("_root"), "_depth"))
-        further = jumped.filter("_next is not null")
-        open_ = further.select("_key", F.col("_next").alias("_up"), (F.col("_depth") + F.col("_more")).alias("_depth"))
-        open_ = materialize(open_, "quotes-open")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionAll(part)
-    return out
+        above = state.select(
+            F.col("_key").alias("_root"), F.col("_root").alias("_next"), F.col("_depth").alias("_more"), F.col("_done").alias("_there")
+        )
+        jumped = state.filter("not _done").join(above, "_root")
+        jumped = jumped.select(
+            "_key", F.col("_next").alias("_root"), (F.col("_depth") + F.col("_more")).alias("_depth"), F.col("_there").alias("_done")
+        )
+        state = materialize(state.filter("_done").unionAll(jumped), "quotes-roots")
+    done = F.col("_done")
+    return state.select(
+        "_key", F.when(done, F.col("_root")).otherwise(F.col("_key")).alias("_root"), F.when(done, F.col("_depth")).otherwise(0).alias("_depth")
+    )
 
 
 def reply_threads(

@@ -131,7 +131,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_toxic"))
     known = known.withColumn("_fold", fold_of("_id")).filter("_fold <> 2")
-    share = F.lit(float(fit_rows)) / known.agg(F.count(F.lit(1))).scalar()
+    share = F.lit(float(fit_rows)) / known.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     return texts.join(known, "_id")
