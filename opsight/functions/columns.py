@@ -17,13 +17,13 @@ def hour_of(ts: Column) -> Column:
 
 
 def settled(col: Column | str, digits: int) -> Column:
-    """Round half up after dropping the noise four digits further down.
+    """Round half up, as a decimal with nine places.
 
-    Sums of doubles arrive in any order; without this, a value on a rounding edge
-    would depend on how the data was partitioned.
+    A sum of doubles differs in its last bits with the order of its terms; those lie far
+    below the ninth place. What is left is one rounding, of the value itself.
     """
     value = F.col(col) if isinstance(col, str) else col
-    return F.round(F.round(value.cast("double"), digits + 4), digits)
+    return F.round(value.cast("decimal(38, 9)"), digits).cast("double")
 
 
 def pct(part: Column, whole: Column, digits: int) -> Column:

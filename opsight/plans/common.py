@@ -32,7 +32,8 @@ def logical_cte(name: str) -> str:
 
 
 def settle_rounds(sql: str) -> str:
-    """Give every ``round(x, n)`` the half-up decimal rounding the operators use."""
+    """Let every ``round(x, n)`` round a decimal: DuckDB rounds a double by its binary value,
+    so that 2.675 becomes 2.67."""
     out, rest = "", sql
     while (at := rest.find("round(")) >= 0:
         depth, cut = 1, None
@@ -44,7 +45,7 @@ def settle_rounds(sql: str) -> str:
                 break
         inner = settle_rounds(rest[at + 6 : cut])
         digits = int(rest[cut + 1 : i])
-        out += rest[:at] + f"cast(round(cast({inner} as decimal(38, {digits + 4})), {digits}) as double)"
+        out += rest[:at] + f"cast(round(cast({inner} as decimal(38, 9)), {digits}) as double)"
         rest = rest[i + 1 :]
     return out + rest
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opsight.functions.columns import settled
 from opsight.functions.relational import (
     as_of_join,
     exact_percentiles,
@@ -132,3 +133,9 @@ def test_percentile_agrees_with_builtin(spark):
     a = exact_percentiles(df, ["k"], {"p": ("v", 0.9)}).orderBy("k").collect()
     b = df.groupBy("k").agg(F.percentile("v", 0.9).alias("p")).orderBy("k").collect()
     assert [(r.k, pytest.approx(r.p)) for r in a] == [(r.k, r.p) for r in b]
+
+
+def test_rounding_is_one_rounding(spark):
+    df = spark.createDataFrame([(2.44999996, 0.1 + 0.2), (2.45, 2.675)], "a double, b double")
+    got = df.select(settled("a", 1), settled("b", 2)).collect()
+    assert [tuple(r) for r in got] == [(2.4, 0.3), (2.5, 2.68)]
