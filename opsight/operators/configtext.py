@@ -20,13 +20,23 @@ CHUNK = 100_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Config files as numbered lines. Each file is read whole by one task, to number its lines."""
-    lines = F.split("value", "\n")
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line_no", "line"))
-        .withColumn("line_no", F.col("line_no").cast("bigint"))
+    """Config files as numbered lines.
+
+    Files are read in splits. A line's number is its place in its split plus the lines of
+    the file's splits before it, so no task reads more than a split.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("line"),
     )
+    counts = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    in_file = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("file", "_split", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_before"))
+    in_split = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_at")) - 1
+    numbered = lines.withColumn("_place", in_split).join(before, ["file", "_split"])
+    return numbered.select("file", (F.col("_before") + F.col("_place")).cast("bigint").alias("line_no"), "line")
 
 
 def declared_names(lines: DataFrame) -> DataFrame:

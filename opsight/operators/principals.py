@@ -55,12 +55,12 @@ def translate_members(
 ) -> DataFrame:
     """Memberships of primary groups in replica ids, one row per resolved member.
 
-    ``primary`` and ``replica`` hold ``users``, ``service_principals`` and ``groups``. The
+    ``primary`` and ``replica`` hold ``users``, ``service_principals`` and ``groups``, and
+    ``primary`` also ``members(group_id, position, value, ref)``, one row per member. The
     kind of a member is told by its reference or else by the id list it is in, users
     first, then service principals, then groups. Groups still to be created stand in as
     ``created`` + name. Members stay rows: a group may hold any share of them.
     """
-    # A group may come in several rows, each with a part of its members.
     groups = primary["groups"].filter("display_name is not null and display_name <> ''")
     fresh = groups_to_create(groups, replica["groups"]).select(
         F.concat(F.lit(created), "display_name").alias("id"), "display_name"
@@ -70,9 +70,10 @@ def translate_members(
     spns = _by_name(primary["service_principals"], replica["service_principals"], "application_id", "spn")
     nested = _by_name(primary["groups"].select("id", "display_name"), target_groups, "display_name", "group")
     members = (
-        groups.select("display_name", F.posexplode("members").alias("position", "m"))
-        .select("display_name", "position", F.col("m.value").alias("value"), F.coalesce("m.ref", F.lit("")).alias("ref"))
+        primary["members"]
         .filter("value is not null and value <> ''")
+        .join(groups.select(F.col("id").alias("group_id"), "display_name"), "group_id")
+        .select("display_name", "position", "value", F.coalesce("ref", F.lit("")).alias("ref"))
     )
     ref = F.col("ref")
     resolved = (

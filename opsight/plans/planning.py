@@ -51,20 +51,9 @@ def _users(t: Inputs):
     return flat.withColumn("name", named).drop("family_name")
 
 
-def _groups(t: Inputs):
-    """Groups with their member arrays; a group with very many members comes in several rows."""
-    part = F.pmod(F.xxhash64("position"), F.lit(64))
-    members = (
-        t.logical("fx_members")
-        .groupBy("group_id", part.alias("part"))
-        .agg(F.collect_list(F.struct("value", "ref", "position")).alias("members"))
-    )
-    groups = t.logical("fx_groups")
-    return groups.join(members, groups["id"] == members["group_id"], "left").select("id", "display_name", "members")
-
-
 def _sides(t: Inputs):
-    primary = {"users": _users(t), "service_principals": t.logical("fx_spns"), "groups": _groups(t)}
+    primary = {"users": _users(t), "service_principals": t.logical("fx_spns"), "groups": t.logical("fx_groups")}
+    primary["members"] = t.logical("fx_members")
     replica = {
         "users": t.logical("fx_users_replica"),
         "service_principals": t.logical("fx_spns_replica"),

@@ -137,16 +137,18 @@ def test_mounts_and_methods(spark):
 def test_members_precedence_and_unresolved(spark, rows):
     users = spark.createDataFrame([("1", "ann"), ("2", "bob"), ("5", None)], "id string, user_name string")
     spns = spark.createDataFrame([("1", "app"), ("3", "app3")], "id string, application_id string")
-    groups = spark.createDataFrame(
-        [("g1", "top", [("1", None), ("3", ""), ("g2", "Groups/g2"), ("2", "Users/2"), ("1", "ServicePrincipals/1"), ("9", "Users/9"), ("", None), (None, None)]), ("g2", "new", None), ("g3", "", [("1", None)])],
-        "id string, display_name string, members array<struct<value:string,ref:string>>",
+    groups = spark.createDataFrame([("g1", "top"), ("g2", "new"), ("g3", "")], "id string, display_name string")
+    listed = [("1", None), ("3", ""), ("g2", "Groups/g2"), ("2", "Users/2"), ("1", "ServicePrincipals/1"), ("9", "Users/9"), ("", None), (None, None)]
+    members = spark.createDataFrame(
+        [("g1", i, v, ref) for i, (v, ref) in enumerate(listed)] + [("g3", 0, "1", None)],
+        "group_id string, position int, value string, ref string",
     )
     replica = {
         "users": spark.createDataFrame([("R1", "ann")], "id string, user_name string"),
         "service_principals": spark.createDataFrame([("S1", "app"), ("S3", "app3")], "id string, application_id string"),
         "groups": spark.createDataFrame([("H1", "top")], "id string, display_name string"),
     }
-    got = p.translate_members({"users": users, "service_principals": spns, "groups": groups}, replica)
+    got = p.translate_members({"users": users, "service_principals": spns, "groups": groups, "members": members}, replica)
     # a member found among the users stays a user, whatever its reference says
     assert rows(got, "group_id", "position", "member_id") == [("H1", 0, "R1"), ("H1", 1, "S3"), ("H1", 2, "new:new"), ("H1", 4, "R1")]
 
@@ -207,6 +209,18 @@ def test_read_lines(spark, tmp_path):
     assert [(r.line_no, r.line) for r in got] == [(0, "one"), (1, "two"), (2, ""), (3, "four")]
 
 
+def test_read_lines_of_split_files(spark, tmp_path):
+    for name, n in (("a.tf", 4000), ("b.tf", 3)):
+        (tmp_path / name).write_text("\n".join(f"{name} line {i}" for i in range(n)))
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = x.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert len(got) == 4003 and all(r.line.endswith(f"line {r.line_no}") for r in got)
+
+
 def test_ddl_and_comments(spark):
     ddl = "CREATE EXTERNAL TABLE `a`.`b` (x INT)\nUSING csv\nLOCATION 'old'\nTBLPROPERTIES ('k' = 'v')"
     df = spark.createDataFrame([(ddl, "m.`s`.`t`", "p'q$1"), ("CREATE VIEW v", "t", "p")], "ddl string, target string, cloud_path string")
