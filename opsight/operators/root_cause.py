@@ -332,7 +332,11 @@ def _resolve_children(ids: DataFrame, t: RunTables, depth: int) -> DataFrame:
 
 
 def resolve_root_cause(tables: RunTables, depth: int = 2) -> DataFrame:
-    """Every task with its own error and the deepest real error found behind it."""
+    """Every task with its own error and the deepest real error found behind it.
+
+    Children are followed ``depth`` levels; a circle of runs has no deepest cause, so the
+    number is the caller's to give.
+    """
     units = tables.tasks.withColumnsRenamed({"state_message": "unit_message", "task_run_id": "unit_run_id"})
     units = units.withColumns({"lost": F.lit(False), "solo": F.lit(False)})
     return _resolve_units(units, tables, depth, "task_output", False).select(

@@ -71,9 +71,7 @@ QUERIES: dict[str, Query] = {
     "last_vacuum": query(lambda t: m.last_vacuum(history(t))),
     "removable_files": query(_removable),
     "vacuum_candidates": query(_candidates),
-    "top_candidates": query(
-        lambda t: m.top_candidates(_candidates(t), 5).select("full_name", "est_files_to_clean", "reason")
-    ),
+    "top_candidates": query(lambda t: m.top_candidates(_candidates(t))),
     "failed_steps": query(_failed),
     "storage_pivot": query(lambda t: m.storage_pivot(t.logical("fx_storage_metrics"))),
     "storage_ratios": query(_storage),
@@ -226,8 +224,8 @@ where x.schema_name not in (select schema_name from fx_table_detail)""",
     "vacuum_candidates": oracle(_C, LAST, REMOVABLE, CANDIDATES, "select * from candidates"),
     "top_candidates": oracle(
         _C, LAST, REMOVABLE, CANDIDATES,
-        """select full_name, est_files_to_clean, reason from candidates
-order by candidate_score desc nulls last, "table" limit 5""",
+        """select * from candidates where is_delta and error is null
+order by candidate_score desc nulls last, "table" limit 50""",
     ),
     "failed_steps": oracle(
         "fx_table_detail fx_storage_metrics fx_table_props fx_table_history",
@@ -313,6 +311,7 @@ round_raw(
     ORACLE,
     {
         "vacuum_candidates": "days_since_last_vacuum candidate_score",
+        "top_candidates": "days_since_last_vacuum candidate_score",
         "version_statistics": "avg_versions total_size_mb",
     },
 )

@@ -10,7 +10,7 @@ from opsight.plans import failures as pf
 from opsight.plans.common import Inputs, oracle, query
 from opsight.scratch import materialize
 
-DEPTH = 2
+DEPTH = 4
 
 
 def _tables(t: Inputs) -> rc.RunTables:
@@ -102,7 +102,7 @@ def _children(n: int) -> str:
       case when result_state in ('FAILED', 'ERROR', 'TIMEDOUT') then 0 else 1 end, task_order) as rn,
       bool_or(coalesce(result_state in ('FAILED', 'ERROR', 'TIMEDOUT'), false)) over (partition by run_id) as any_failed, {good} as good from u{n}"""
     found = "(good and (not any_failed or result_state in ('FAILED', 'ERROR', 'TIMEDOUT')))"
-    return f"""c{n} as (select run_id, case when solo or {found} then re end as re, case when solo or {found} then rt end as rt,
+    return f"""c{n} as materialized (select run_id, case when solo or {found} then re end as re, case when solo or {found} then rt end as rt,
   case when solo then rv when {found} then 'child_run/' || rv else 'child_run' end as rv, case when solo or {found} then rd else 0 end as rd
   from ({picks}) x where rn = 1
   union all select id, '{rc.NO_CHILD}', null, 'child_run', 0 from (select job as id from edges union select ref from edges) i
@@ -111,7 +111,7 @@ k{n} as (select * from c{n} where nullif(re, '') is not null and not {_wraps('re
 
 
 def _units(n: int) -> str:
-    return f"""u{n} as (select e.*,
+    return f"""u{n} as materialized (select e.*,
   case when w.message is not null then w.message when j.run_id is not null then j.re when r.run_id is not null then r.re else e.error end as re,
   case when w.message is not null then w.details when j.run_id is not null then j.rt when r.run_id is not null then r.rt else e.error_trace end as rt,
   case when w.message is not null then 'pipeline_event_log(' || e.flow || ')' when j.run_id is not null then j.rv
@@ -120,10 +120,11 @@ def _units(n: int) -> str:
   from edges e left join flows w on e.flow = w.pipeline_id left join k{n - 1} j on e.job = j.run_id left join k{n - 1} r on e.ref = r.run_id)"""
 
 
-RESOLVED = (FLOWS, UNITS, _children(0), _units(1), _children(1), _units(2))
+RESOLVED = (FLOWS, UNITS, *(text for n in range(DEPTH) for text in (_children(n), _units(n + 1))))
+DEEPEST = f"u{DEPTH}"
 ENRICHED = f"""{pf.RANKED},
 mine as (select * from terminal where result_state in ('FAILED', 'ERROR', 'TIMEDOUT')),
-found as (select * from u2 where not solo union all select * from u0 where solo),
+found as (select * from {DEEPEST} where not solo union all select * from u0 where solo),
 enriched as (select m.workspace_id, w.workspace_name, m.run_id, m.job_id, m.run_date, m.termination_code, x.task_key, x.unit as task_run_id,
   case when g.run_id is null then '{rc.NO_RUN}' else x.state_message end as state_message, x.error, x.error_trace, x.re as resolved_error,
   x.rt as resolved_trace, case when x.solo then 'run_output' else x.rv end as resolved_via, coalesce(x.rd, 0) as depth, g.run_page_url
@@ -151,8 +152,8 @@ ORACLE = {
     "event_log_errors": oracle("fx_event_log", FLOWS, "select * from flows"),
     "root_cause": oracle(
         _RUNS, *RESOLVED,
-        """select run_id, task_key, task_order, unit as task_run_id, state_message, error, error_trace, re as resolved_error,
-  rt as resolved_trace, rv as resolved_via, rd as resolved_depth from u2 where not solo""",
+        f"""select run_id, task_key, task_order, unit as task_run_id, state_message, error, error_trace, re as resolved_error,
+  rt as resolved_trace, rv as resolved_via, rd as resolved_depth from {DEEPEST} where not solo""",
     ),
     "enriched_errors": oracle(_ALL, *RESOLVED, ENRICHED, "select * from enriched"),
     "code_failure_reason": oracle(

@@ -58,7 +58,7 @@ QUERIES = {
     "cluster_assessment": query(_assessment),
     "d1_kpis": query(lambda t: u.kpis(_assessed(t))),
     "d2_categories": query(lambda t: u.category_distribution(_assessed(t))),
-    "d3_top_cost": query(lambda t: u.top_cost(_assessed(t), 10)),
+    "d3_top_cost": query(lambda t: u.top_cost(_assessed(t))),
     "d4_scatter": query(lambda t: u.scatter(_assessed(t))),
     "d5_owners": query(lambda t: u.owners(_assessed(t))),
     "d6_detail": query(lambda t: u.detail(_assessed(t))),
@@ -280,7 +280,7 @@ from assessed group by utilization_category""",
     "d3_top_cost": oracle(
         _A, *_CHAIN,
         """select cluster_name, utilization_category, round(estimated_cost_usd, 2) as cost_usd, avg_cpu_percent, p95_cpu_percent
-from assessed where estimated_cost_usd is not null order by estimated_cost_usd desc, cluster_id limit 10""",
+from assessed where estimated_cost_usd is not null order by estimated_cost_usd desc, cluster_id limit 20""",
     ),
     "d4_scatter": oracle(
         _A, *_CHAIN,

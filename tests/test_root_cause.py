@@ -95,7 +95,7 @@ def build(seed):
     return runs, tasks, outputs, {k: v for k, v in events.items() if v[0]}
 
 
-@pytest.mark.parametrize("seed, depth, cut", [(1, 0, None), (2, 1, None), (3, 2, None), (4, 2, materialize), (5, 3, materialize)])
+@pytest.mark.parametrize("seed, depth, cut", [(1, 0, None), (2, 1, None), (3, 2, None), (4, 2, materialize), (5, 3, materialize), (6, 6, materialize)])
 def test_matches_recursive_reading(spark, seed, depth, cut):
     runs, tasks, outputs, events = build(seed)
     t = rc.RunTables(
