@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from opsight.operators import failures as f
+from opsight.plans import expected as e
 from opsight.plans.common import AS_OF, Inputs, oracle, query
 
 DAYS = 20
@@ -72,19 +73,19 @@ RANKED = f"""ranked as (
 terminal as (select *, cast(period_end_time as date) as run_date from ranked where rn = 1)"""
 ERRORS = f"""ranked_errors as (
   select *, row_number() over (partition by workspace_id, run_id order by period_end_time desc) as rn
-  from fx_job_periods where {SCOPE} and termination_code = '{f.EXECUTION_ERROR}'),
+  from fx_job_periods where {SCOPE} and termination_code = '{e.EXECUTION_ERROR}'),
 per_job as (select workspace_id, job_id, count(*) as failed_runs from ranked_errors where rn = 1 group by all)"""
 CATEGORY = f"""case when result_state = 'SUCCEEDED' then '0. Succeeded'
   when result_state = 'CANCELLED' or termination_code = 'USER_CANCELLED' then '0. Cancelled (expected)'
-  {_case(f.CATEGORIES)} else '{f.OTHER_CATEGORY}' end as failure_category"""
+  {_case(e.CATEGORIES)} else '{e.OTHER_CATEGORY}' end as failure_category"""
 FINE = "result_state = 'SUCCEEDED' or termination_code = 'USER_CANCELLED'"
 FAILED = "result_state in ('FAILED', 'ERROR', 'SKIPPED', 'TIMEDOUT')"
-DISPOSITION = f"""case when {FINE} then 'Not a failure' when termination_code = '{f.EXECUTION_ERROR}' then '{f.AGENT}'
-  when {FAILED} then '{f.SOLVED}' else 'Review' end as disposition"""
+DISPOSITION = f"""case when {FINE} then 'Not a failure' when termination_code = '{e.EXECUTION_ERROR}' then '{e.AGENT}'
+  when {FAILED} then '{e.SOLVED}' else 'Review' end as disposition"""
 
 
 def _lever(wording: str) -> str:
-    return f"case when {FINE} then 'n/a' {_case(f.LEVERS[wording])} else 'Investigate' end as resolution_lever"
+    return f"case when {FINE} then 'n/a' {_case(e.LEVERS[wording])} else 'Investigate' end as resolution_lever"
 
 
 def _matrix(wording: str) -> str:
@@ -98,13 +99,13 @@ def _matrix(wording: str) -> str:
 def _rollup(by: str) -> str:
     over = f"partition by {by.rstrip(', ')}" if by else ""
     return f"""select *, round(100.0 * failed_runs / sum(failed_runs) over ({over}), 1) as pct_of_failures from (
-  select {by} case {_case(f.CATEGORIES)} else '{f.OTHER_CATEGORY}' end as failure_category,
-    case when termination_code = '{f.EXECUTION_ERROR}' then '{f.AGENT}' else '{f.SOLVED}' end as disposition,
+  select {by} case {_case(e.CATEGORIES)} else '{e.OTHER_CATEGORY}' end as failure_category,
+    case when termination_code = '{e.EXECUTION_ERROR}' then '{e.AGENT}' else '{e.SOLVED}' end as disposition,
     count(*) as failed_runs from terminal where {FAILED} group by all) g"""
 
 
-BAND = f"""case when failed_runs >= 20 then '{f.BANDS[0][1]}' when failed_runs >= 5 then '{f.BANDS[1][1]}'
-  else '{f.SPORADIC}' end"""
+BAND = f"""case when failed_runs >= 20 then '{e.BANDS[0][1]}' when failed_runs >= 5 then '{e.BANDS[1][1]}'
+  else '{e.SPORADIC}' end"""
 LATEST_JOB = """latest_job as (select workspace_id, job_id, name from (
   select *, row_number() over (partition by workspace_id, job_id order by change_time desc, name desc) as rn
   from fx_jobs) j where rn = 1)"""
@@ -164,9 +165,9 @@ order by e.failed_runs desc, e.job_id, e.workspace_id limit 25""",
 where workspace_id in (select workspace_id from fx_workspaces where workspace_name = 'NATION_2')""",
     ),
     "enrichment_candidates": _candidates_sql(
-        f"{SCOPE} and termination_code = '{f.EXECUTION_ERROR}'",
+        f"{SCOPE} and termination_code = '{e.EXECUTION_ERROR}'",
         "job_id in (select job_id from scoped group by job_id having count(*) between 1 and 4)",
     ),
-    "all_exec_error_candidates": _candidates_sql(f"{SCOPE} and termination_code = '{f.EXECUTION_ERROR}'"),
+    "all_exec_error_candidates": _candidates_sql(f"{SCOPE} and termination_code = '{e.EXECUTION_ERROR}'"),
     "all_failure_candidates": _candidates_sql(f"{SCOPE} and result_state in ('FAILED', 'ERROR', 'TIMEDOUT')"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opsight.operators import maintenance as m
 from opsight.operators import versions as v
+from opsight.plans import expected as e
 from opsight.plans.common import Inputs, Query, oracle, query, round_raw
 from opsight.sources import platform as p
 
@@ -134,7 +135,7 @@ def _units(name: str, out: str) -> str:
     return ", ".join(f"round({name} / {size}, {digits}) as {out}_{unit}" for unit, size, digits in sizes)
 
 
-PIVOT = f"""pivoted as (select table_name, {', '.join(_pick(x) for x in m.STORAGE_METRICS)} from fx_storage_metrics group by table_name)"""
+PIVOT = f"""pivoted as (select table_name, {', '.join(_pick(x) for x in e.STORAGE_METRICS)} from fx_storage_metrics group by table_name)"""
 RATIOS = f"""ratios as (select *, {_units('total_bytes', 'total')}, {_units('active_bytes', 'active')},
   {_units('vacuumable_bytes', 'vacuumable')}, {_units('time_travel_bytes', 'time_travel')}, {_units('vacuumable_bytes', 'space_saving')},
   round(case when total_bytes > 0 then vacuumable_bytes / total_bytes * 100 else 0 end, 2) as saving_pct,
@@ -147,7 +148,7 @@ DETAIL = f"""features as (select table_name, table_type, location, last_modified
   cast(date_diff('day', cast(last_modified as date), cast({_NOW} as date)) as int) as days_since_last_modified from fx_table_detail)"""
 PROPS = "props as (select table_name, " + ", ".join(
     f"coalesce(max(case when prop_key = '{key}' then prop_value end), 'not set') as {name}"
-    for name, key in m.PROPERTY_COLUMNS.items()
+    for name, key in e.PROPERTY_COLUMNS.items()
 ) + " from fx_table_props group by table_name)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opsight.operators import failures as f
 from opsight.operators import root_cause as rc
 from opsight.plans import failures as pf
+from opsight.plans import expected as e
 from opsight.plans.common import Inputs, oracle, query
 from opsight.scratch import materialize
 
@@ -73,11 +74,11 @@ QUERIES = {
 
 def _wraps(error: str, message: str = "null") -> str:
     text = f"trim(coalesce(nullif({error}, ''), nullif({message}, ''), ''))"
-    return f"({text} <> '' and {text} not like '[%' and regexp_matches({text}, '(?i){rc.WRAPPER}'))"
+    return f"({text} <> '' and {text} not like '[%' and regexp_matches({text}, '(?i){e.WRAPPER}'))"
 
 
 def _ref(text: str) -> str:
-    return f"nullif(regexp_extract_all(coalesce({text}, ''), '{rc.RUN_REFERENCE}', 1), [])[-1]"
+    return f"nullif(regexp_extract_all(coalesce({text}, ''), '{e.RUN_REFERENCE}', 1), [])[-1]"
 
 
 _NAMED = f"try_cast(coalesce({_ref('error')}, {_ref('error_trace')}, {_ref('state_message')}) as bigint)"
@@ -87,7 +88,7 @@ FLOWS = """flows as (select pipeline_id, message, details from (select *, row_nu
     or json_extract_string(details, '$.update_progress.state') = 'FAILED') e where rn = 1)"""
 UNITS = f"""units as (select run_id, task_key, task_order, result_state, pipeline_id, task_run_id as unit, state_message as msg, false as solo from fx_tasks
   union all select run_id, null, 0, null, null, run_id, null, true from fx_runs where run_id not in (select run_id from fx_tasks)),
-own as (select u.* exclude (msg), case when o.run_id is null then '{rc.NO_OUTPUT}' else o.error end as error, o.error_trace,
+own as (select u.* exclude (msg), case when o.run_id is null then '{e.NO_OUTPUT}' else o.error end as error, o.error_trace,
   coalesce(nullif(u.msg, ''), o.state_message) as state_message, o.child_run_id as child
   from units u left join fx_outputs o on u.unit = o.run_id),
 edged as (select *, {_wraps('error', 'state_message')} as wraps, {_NAMED} as named from own),
@@ -105,7 +106,7 @@ def _children(n: int) -> str:
     return f"""c{n} as materialized (select run_id, case when solo or {found} then re end as re, case when solo or {found} then rt end as rt,
   case when solo then rv when {found} then 'child_run/' || rv else 'child_run' end as rv, case when solo or {found} then rd else 0 end as rd
   from ({picks}) x where rn = 1
-  union all select id, '{rc.NO_CHILD}', null, 'child_run', 0 from (select job as id from edges union select ref from edges) i
+  union all select id, '{e.NO_CHILD}', null, 'child_run', 0 from (select job as id from edges union select ref from edges) i
     where id is not null and id not in (select run_id from fx_runs)),
 k{n} as (select * from c{n} where nullif(re, '') is not null and not {_wraps('re')})"""
 
@@ -126,20 +127,20 @@ ENRICHED = f"""{pf.RANKED},
 mine as (select * from terminal where result_state in ('FAILED', 'ERROR', 'TIMEDOUT')),
 found as (select * from {DEEPEST} where not solo union all select * from u0 where solo),
 enriched as (select m.workspace_id, w.workspace_name, m.run_id, m.job_id, m.run_date, m.termination_code, x.task_key, x.unit as task_run_id,
-  case when g.run_id is null then '{rc.NO_RUN}' else x.state_message end as state_message, x.error, x.error_trace, x.re as resolved_error,
+  case when g.run_id is null then '{e.NO_RUN}' else x.state_message end as state_message, x.error, x.error_trace, x.re as resolved_error,
   x.rt as resolved_trace, case when x.solo then 'run_output' else x.rv end as resolved_via, coalesce(x.rd, 0) as depth, g.run_page_url
   from mine m left join fx_runs g on m.run_id = g.run_id left join found x on g.run_id = x.run_id
   left join fx_workspaces w on m.workspace_id = w.workspace_id)"""
 
 
 def _reason(source: str) -> str:
-    cases = " ".join(f"when regexp_matches(msg, '{p}') then '{n}'" for n, p, _ in rc.REASONS)
+    cases = " ".join(f"when regexp_matches(msg, '{p}') then '{n}'" for n, p, _ in e.REASONS)
     return f"""texts as (select *, coalesce(resolved_error, error, state_message) as text from {source}),
-classified as (select *, case {cases} else '{rc.OTHER_REASON}' end as code_failure_reason
+classified as (select *, case {cases} else '{e.OTHER_REASON}' end as code_failure_reason
   from (select *, lower(text) as msg from texts where text is not null and text not like '[%') q)"""
 
 
-_ADVICE = " ".join(f"when '{n}' then '{a}'" for n, _, a in rc.REASONS)
+_ADVICE = " ".join(f"when '{n}' then '{a}'" for n, _, a in e.REASONS)
 _RUNS = "fx_runs fx_tasks fx_outputs fx_event_log"
 _ALL = f"{_RUNS} fx_job_periods fx_workspaces"
 _REAL = "(nullif({0}, '') is not null and {0} not like '[%')"
@@ -162,7 +163,7 @@ ORACLE = {
     "reason_rollup": oracle(
         "fx_task_errors", _reason("fx_task_errors"),
         f"""select code_failure_reason, count(*) as failed_runs, count(distinct job_id) as distinct_jobs,
-  min(msg) as sample_message, case code_failure_reason {_ADVICE} else '{rc.OTHER_ADVICE}' end as recommendation
+  min(msg) as sample_message, case code_failure_reason {_ADVICE} else '{e.OTHER_ADVICE}' end as recommendation
 from classified group by code_failure_reason""",
     ),
     "run_summary": oracle(
