@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.llm.common import ascii_lower, text_of
+from opsight.scratch import materialize
 
 WORDS = 6
 THRESHOLDS = 6
@@ -126,15 +127,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str
     """About ``fit_rows`` labelled documents outside the held-out fold: ``_id``, ``_text``, ``_toxic``, ``_fold``.
 
     A document with several labels counts by the largest. The sample is taken by a hash of
-    the id, so it is the same in every run.
+    the id, so it is the same in every run, and from the documents before they meet the
+    labels, so only sampled texts are shuffled. It is written once.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_toxic"))
-    known = known.withColumn("_fold", fold_of("_id")).filter("_fold <> 2")
-    share = F.lit(float(fit_rows)) / known.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return texts.join(known, "_id")
+    n = known.filter(fold_of("_id") != 2).count()
+    below = min(1.0, fit_rows / max(n, 1)) * (1 << 20)
+    sampled = (fold_of("_id") != 2) & (F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 20)) < below)
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).filter(sampled)
+    rows = texts.join(known.filter(sampled), "_id").withColumn("_fold", fold_of("_id"))
+    return materialize(rows, "toxicity-training")
 
 
 def dictionaries(rows: DataFrame, ordinary_size: int, toxic_size: int, least_contrast: float) -> tuple[bytes, bytes]:
