@@ -164,9 +164,9 @@ q as (
          sum(size) over (partition by d.source order by k)::double as until
   from d join t on d.source is not distinct from t.source),
 e as (
-  select size, budget, until / target as at from q where size > 0
+  select size, budget, until / target as moment from q where size > 0
   union all select size, budget, (until + source_size) / target from q where size > 0),
-c as (select coalesce(max(at), -1.0) as cut from (select at, budget, sum(size) over (order by at) as used from e) where used <= budget)
+c as (select coalesce(max(moment), -1.0) as cut from (select moment, budget, sum(size) over (order by moment) as used from e) where used <= budget)
 select doc_id, size, source_size, target,
        case when size = 0 then 0
             else size * ((until / target <= cut)::int + ((until + source_size) / target <= cut)::int) end::bigint as taken
