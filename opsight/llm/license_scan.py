@@ -4,9 +4,10 @@ Templates are token sequences (words without punctuation, A-Z lower-cased). Thei
 grams are hashed and winnowed: of every ``window`` consecutive hashes the least is a
 fingerprint, so any run of ``window + gram - 1`` equal tokens shares one with its template.
 The fingerprints form an inverted index (hash to templates and places). A document's tokens
-are fingerprinted in the same way; hits on one template at nearly the same diagonal are a
-candidate, and a sequence alignment in a band around that diagonal tells how many template
-tokens are matched and where in the text the match begins and ends.
+are fingerprinted in the same way; a hit on a template that lies in no match of it yet is a
+candidate, and a sequence alignment in a band around its diagonal, between the matches on
+either side, tells how many template tokens are matched and where in the text the match
+begins and ends.
 
 The index holds the templates only, whose number and length are known: it travels with the
 task. Documents are independent of each other, so there is no shuffle.
@@ -15,6 +16,7 @@ task. Documents are independent of each other, so there is no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -114,13 +116,16 @@ class Index:
         self.known = np.array(sorted(self.postings), dtype=np.uint64)
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
+def align(
+    template: np.ndarray, text: np.ndarray, diagonal: int, band: int, low: int = 0, high: int | None = None
+) -> tuple[int, int, int]:
     """Longest common subsequence inside the band around ``diagonal`` (text place less template place).
 
-    Returns matched tokens and the first and last matched place of the text; of equal
+    Only text places from ``low`` on and below ``high`` count. Returns matched tokens and the first and last matched place of the text; of equal
     alignments the one that ends earliest, then that which begins latest.
     """
     width = 2 * band + 1
+    high = len(text) if high is None else high
     score = np.zeros(width + 1, dtype=np.int64)
     begin = np.full(width + 1, -1, dtype=np.int64)
     end = np.full(width + 1, -1, dtype=np.int64)
@@ -131,7 +136,7 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
         new_score[-1] = 0
         for c in range(width):
             j = i + diagonal - band + c
-            if 0 <= j < len(text) and text[j] == token:
+            if low <= j < high and text[j] == token:
                 best = (score[c] + 1, begin[c] if score[c] else j, j)
                 if best[0] > new_score[c]:
                     new_score[c], new_begin[c], new_end[c] = best
@@ -154,25 +159,48 @@ def scan(text: str, index: Index, band: int, least: float) -> list[tuple[str, in
     hashes = grams(seq, index.gram)
     marks = winnow(hashes, index.window)
     marks = marks[np.isin(hashes[marks], index.known)]
-    diagonals: dict[int, list[int]] = defaultdict(list)
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at in marks.tolist():
         for template, place in index.postings[int(hashes[at])]:
-            diagonals[template].append(at - place)
+            hits[template].append((at, at - place))
     found = []
-    for template, hits in diagonals.items():
+    for template, of in hits.items():
         t = index.templates[template]
-        last = None
-        for diagonal in sorted(set(hits)):
-            if last is not None and diagonal - last <= band:
-                continue
-            last = diagonal
-            matched, first, end = align(t.tokens, seq, diagonal, band)
+        for matched, first, end in _matches(t.tokens, seq, of, band, least):
             coverage = matched / len(t.tokens)
-            if coverage >= least:
-                found.append((t.license, t.number, len(t.tokens), matched, coverage, places[first][0], places[end][1]))
+            found.append((t.license, t.number, len(t.tokens), matched, coverage, places[first][0], places[end][1]))
     return _best(found)
 
 
+def _matches(
+    template: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]], band: int, least: float
+) -> list[tuple[int, int, int]]:
+    """Matched tokens, first and last text place of the matches of one template, none over another.
+
+    A hit (text place, diagonal) inside a match is done. Any other is aligned in the gap
+    between matches that it lies in, and again on its side of a match found beside it.
+    """
+    found: list[tuple[int, int, int]] = []
+    begins: list[int] = []
+    tried: set[tuple[int, int, int]] = set()
+    for at, diagonal in hits:
+        while True:
+            i = bisect_right(begins, at)
+            if i and at <= found[i - 1][2]:
+                break
+            low = found[i - 1][2] + 1 if i else 0
+            high = begins[i] if i < len(found) else len(text)
+            if (diagonal, low, high) in tried:
+                break
+            tried.add((diagonal, low, high))
+            match = align(template, text, diagonal, band, low, high)
+            if match[0] / len(template) < least:
+                break
+            found.insert(i, match)
+            begins.insert(i, match[1])
+    return found
+
+
 def _best(found: list[tuple]) -> list[tuple]:
     """Of matches that overlap in the text, the one with most matched tokens, then the best covered."""
     kept: list[tuple] = []

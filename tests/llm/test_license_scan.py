@@ -69,3 +69,20 @@ def test_every_window_has_a_fingerprint():
     for i in range(len(hashes) - 3):
         window = hashes[i : i + 4]
         assert max(j for j in range(4) if window[j] == window.min()) + i in picked
+
+
+def test_adjacent_copies_against_brute_force():
+    """Runs of copies of each notice, with or without words between, all found."""
+    chance = random.Random(5)
+    index = Index(TEMPLATES, 3, 2)
+    for name, texts in TEMPLATES.items():
+        for number, text in enumerate(texts):
+            words = tokens_of(text)[0]
+            for copies in (1, 2, 3, 7):
+                for gap in (0, 1, 3):
+                    page = " ".join(f"{text} " + " ".join(chance.choices("qx zz kk".split(), k=gap)) for _ in range(copies))
+                    seq, places = tokens_of(page)
+                    at = [i for i in range(len(seq)) if seq[i : i + len(words)] == words]
+                    want = [(name, number, places[i][0], places[i + len(words) - 1][1]) for i in at]
+                    assert len(want) == copies
+                    assert [(*m[:2], *m[5:]) for m in scan(page, index, 8, 0.8)] == want
