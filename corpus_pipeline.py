@@ -6,7 +6,7 @@ and decides on all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsight.llm import exact_dedup, mixing, near_dup, packing, quality
@@ -14,14 +14,20 @@ from opsight.llm.common import key_of, table
 from opsight.scratch import scratch_path
 
 
+def _row() -> Column:
+    """What a verdict depends on, and the id, which deals copies of a text to different keys."""
+    return F.struct(key_of("doc_id").alias("id"), key_of("lang").alias("lang"), F.sha2(key_of("text"), 256).alias("text"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.
 
-    The verdict is joined back by document; a repeated id stays if every row of it does.
+    The verdict of a row is joined back by id, language and text, nulls included: rows that
+    share an id, or have none, are judged each by its own text.
     """
-    verdict = quality.quality_rules(docs).groupBy(key_of("doc_id").alias("_key"))
-    stay = verdict.agg(F.min("kept").alias("_kept")).filter("_kept").select("_key")
-    return docs.withColumn("_key", key_of("doc_id")).join(stay, "_key", "left_semi").select(docs.columns)
+    rows = docs.withColumn("_row", _row())
+    stay = quality.quality_rules(rows, id_col="_row").filter("kept").select("_row").distinct()
+    return rows.join(stay, "_row", "left_semi").select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

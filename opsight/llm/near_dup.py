@@ -9,7 +9,8 @@ Bands of ``rows`` coordinates are buckets. With 25 bands of 5, a pair of similar
 misses all buckets with probability 4e-7, one of 0.8 with 5e-5. Every link is confirmed on
 the full sets. No bucket is emitted as all its pairs:
 
-1. Equal sets become one node, the least id, before anything else.
+1. Equal sets become one node before anything else. Nodes have numbers of their own, so an
+   id may stand on any number of texts; ids come back when the components are known.
 2. In every bucket all nodes are compared with its least node: one pair per node.
 3. Buckets whose nodes are then connected are done. In the others, nodes of different
    components are compared by their signatures in blocks of bounded size, in tasks that
@@ -94,15 +95,16 @@ def _sketches(size: int, bands: int, rows: int):
                     for j, i in enumerate(np.flatnonzero(full).tolist()):
                         keys[i], coords[i] = of_band[j], low[j].tobytes()
                         digests[i] = _digest(hashes[begins[i] : begins[i + 1]])
-                ids = batch.column(0).slice(block.first, block.last - block.first)
+                ids, texts = (batch.column(c).slice(block.first, block.last - block.first) for c in (0, 2))
                 columns = [
                     ids,
+                    texts,
                     pa.array(n, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(coords, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "n_shingles", "_set", "_bands", "_coords"])
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_text_key", "n_shingles", "_set", "_bands", "_coords"])
 
     return run
 
@@ -225,19 +227,26 @@ def _in_blocks(rows: DataFrame, key: str, blocks_of: DataFrame) -> DataFrame:
     return paired.repartition(key, "_low", "_high").sortWithinPartitions(key, "_low", "_high")
 
 
+def text_key(text):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text)
+
+
 class NearDuplicates:
     """One run over ``docs``; the tables of its steps are written below the scratch folder."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, bands: int, rows: int):
         self.size, self.similarity = size, similarity
         self.id_col = id_col
-        self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        schema = "_id long, n_shingles long, _set binary, _bands array<long>, _coords binary"
+        text = F.col(text_col).cast("string")
+        self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), text_key(text).alias("_text_key"))
+        schema = "_id long, _text_key long, n_shingles long, _set binary, _bands array<long>, _coords binary"
         self.sketches = materialize(self.texts.mapInArrow(_sketches(size, bands, rows), schema), "near-sketches")
-        one = F.min(F.struct("_id", "n_shingles", "_bands", "_coords")).alias("_one")
+        one = F.min(F.struct("_id", "_text_key", "n_shingles", "_bands", "_coords")).alias("_one")
         nodes = self.sketches.filter("n_shingles > 0 and _id is not null").groupBy("_set")
         nodes = nodes.agg(one, F.count(F.lit(1)).alias("_copies"))
-        nodes = nodes.select(F.col("_one._id").alias("node"), "_set", "_copies", "_one.n_shingles", "_one._bands", "_one._coords")
+        # Numbered once, as they are written: read again, a node has the same number everywhere.
+        nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "_set", "_copies", "_one.*")
         self.nodes = materialize(nodes, "near-nodes")
         self.buckets = self.nodes.select("node", "n_shingles", F.explode("_bands").alias("_bucket"))
 
@@ -273,8 +282,8 @@ class NearDuplicates:
 
     def full_sets(self, wanted: DataFrame) -> DataFrame:
         """``node`` and ``hashes`` of the wanted nodes, from their texts."""
-        wanted = wanted.join(self.nodes.select("node", "_set"), "node")
-        texts = self.texts.join(wanted, F.col("_id") == F.col("node")).select("node", "_text", "_set")
+        wanted = wanted.join(self.nodes.select("node", "_id", "_text_key", "_set"), "node")
+        texts = self.texts.join(wanted, ["_id", "_text_key"]).select("node", "_text", "_set")
         sets = texts.mapInArrow(_full_sets(self.size), "node long, hashes array<long>").dropDuplicates(["node"])
         return materialize(sets, "near-sets")
 
@@ -292,16 +301,21 @@ class NearDuplicates:
         stars = materialize(self.confirmed(self.star_pairs()), "near-links")
         rest = self.rest_links(materialize(components(stars), "near-stars"))
         members = components(stars.unionAll(rest))
-        of_set = self.nodes.select("node", "_set", "_copies").join(members, "node", "left")
+        of_set = self.nodes.select("node", "_set", "_copies", "_id", "_text_key").join(members, "node", "left")
         of_set = of_set.filter("_copies > 1 or component is not null")
-        of_set = of_set.select("_set", F.coalesce("component", "node").alias("component"))
-        rows = self.sketches.select("_id", "n_shingles", "_set").join(of_set, "_set", "left")
-        found = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
+        of_set = materialize(of_set.withColumn("component", F.coalesce("component", "node")), "near-members")
+        first = of_set.groupBy("component").agg(F.min(F.struct("_id", "_text_key", "node")).alias("_first"))
+        of_set = of_set.select("_set", "node", "component").join(first, "component").select("_set", "node", "_first")
+        rows = self.sketches.select("_id", "_text_key", "n_shingles", "_set").join(of_set, "_set", "left")
+        found = F.when(F.col("_id").isNotNull(), F.coalesce("_first._id", "_id"))
+        is_first = (F.col("_id") == F.col("_first._id")) & (F.col("_text_key") == F.col("_first._text_key"))
+        is_first = is_first & (F.col("node") == F.col("_first.node"))
         return rows.select(
             F.col("_id").alias(self.id_col),
+            "_text_key",
             "n_shingles",
             found.alias("component_id"),
-            F.col("_id").eqNullSafe(found).alias("kept"),
+            F.coalesce(is_first, F.lit(True)).alias("kept"),
         )
 
 
@@ -321,14 +335,24 @@ def near_duplicates(
     reachable over links. A text of fewer words is one shingle. An empty or null text has
     no shingle, is linked with nothing and stays. A row without an id is not linked, has a
     null ``component_id`` and stays. Rows that repeat an id and its text are one document
-    and get the same verdict; with different texts, each row has its own component. Other
+    and get the same verdict. With different texts they are documents of their own, whose
+    components may bear the same id; of several in one component, one text is kept. Other
     columns are not read. An empty table gives an empty result.
     """
-    return NearDuplicates(docs, id_col, text_col, size, similarity, bands, rows).result()
+    return NearDuplicates(docs, id_col, text_col, size, similarity, bands, rows).result().drop("_text_key")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: those that are not dropped by id."""
-    verdicts = near_duplicates(docs, id_col, text_col, **settings).filter("not kept")
-    dropped = verdicts.select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+def deduplicate(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    similarity: float = 0.8,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: those that are not dropped by id and text."""
+    verdicts = NearDuplicates(docs, id_col, text_col, size, similarity, bands, rows).result().filter("not kept")
+    dropped = verdicts.select(F.col(id_col).alias("_dropped"), F.col("_text_key").alias("_dropped_text")).distinct()
+    same = (docs[id_col] == F.col("_dropped")) & (text_key(docs[text_col].cast("string")) == F.col("_dropped_text"))
+    return docs.join(dropped, same, "left_anti")

@@ -110,3 +110,16 @@ def test_components(spark):
     got = dict(tuple(r) for r in components(edges).collect())
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_one_id_on_several_texts(documents):
+    """Ids shared by different texts: links of each text count, and only the copy goes."""
+    base, other = family(7, 1, 100, 0)[0], family(8, 1, 100, 0)[0]
+    near = " ".join(base.split()[:-1])
+    twin = " ".join(other.split()[:-1])
+    rows = [(3, base), (7, near), (7, "a text of its own under the same id"), (5, other), (5, twin), (3, "one more alone here")]
+    got = near_duplicates(documents(rows)).collect()
+    assert sorted(r["component_id"] for r in got) == [3, 3, 3, 5, 5, 7]
+    stay = {(r["doc_id"], r["text"]) for r in deduplicate(documents(rows)).collect()}
+    assert stay - {(5, other), (5, twin)} == {rows[0], rows[2], rows[5]}
+    assert len(stay & {(5, other), (5, twin)}) == 1

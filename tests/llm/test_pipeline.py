@@ -70,3 +70,16 @@ def test_stages_one_by_one(spark):
         pieces[p["doc_id"], "tokens"] = p["doc_tokens"]
     assert all(pieces[i] == n * pieces[i, "tokens"] for i, n in uses.items())
     assert set(uses) == {k for k in pieces if not isinstance(k, tuple)}
+
+
+def test_quality_verdicts_stay_with_their_rows(spark):
+    """Rows without an id, or with one that a rejected row has too, are judged by their own text."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = {r["doc_id"] for r in QUERIES["op4_quality_rules"](spark, FOLDER).filter("kept").collect()}
+    every = docs.collect()
+    good = [r for r in every if r["doc_id"] in kept]
+    for shared in ("null", "7"):
+        renamed = docs.selectExpr(f"cast({shared} as bigint) as doc_id", *docs.columns[1:])
+        left = pipeline.quality_stage(spark, renamed, FOLDER).collect()
+        assert len(good) < len(every)
+        assert sorted((r["text"], r["lang"]) for r in left) == sorted((r["text"], r["lang"]) for r in good)
