@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opsight.llm import exact_dedup, html_template, license_scan, lm_score, mixing, near_dup, packing, quality, quotes, toxicity
+from opsight.llm import exact_dedup, html_template, license_scan, lm_score, mixing, near_dup, packing, pieces, quality, quotes, toxicity, turn_repair, vector_codes
 from opsight.llm.common import table
 
 
@@ -49,6 +51,26 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = pieces.encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("piece_ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = turn_repair.damaged(table(spark, folder, "conversations"))
+    return turn_repair.repair_digests(turn_repair.repair(turns))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
@@ -60,6 +82,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_pieces": op11_pieces,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,3 +197,42 @@ select doc_id, size, source_size, target,
             else size * ((until / target <= cut)::int + ((until + source_size) / target <= cut)::int) end::bigint as taken
 from q, c
 """
+
+
+# Assignment, means, assignment, means, assignment: nearest entries by arg_min over (distance, index).
+def _nearest(book: str) -> str:
+    return f"""select n, p, min(struct_pack(d := d, e := e)) as best from (
+    select k.n, k.p, b.e, list_sum(list_transform(list_zip(k.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from parts k join {book} b using (p)) group by n, p"""
+
+
+def _moved(book: str, near: str) -> str:
+    return f"""select b.p, b.e, coalesce(m.entry, b.entry) as entry from {book} b left join (
+    select p, e, list(floor_mean order by i) as entry from (
+      select k.p, best.e as e, i, ((sum(k.part[i]) - ((sum(k.part[i]) % count(*)) + count(*)) % count(*)) // count(*))::bigint as floor_mean
+      from parts k join {near} using (n, p), range(1, 5) r(i) group by k.p, best.e, i) group by p, e) m
+    on b.p = m.p and b.e = m.e"""
+
+
+ORACLE["op13_vector_codes"] = f"""
+with kept as (
+  select row_number() over (order by vec_id nulls last, embedding) as n, vec_id, label,
+         list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v
+  from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(embedding) > 0),
+parts as materialized (
+  select n, p, v[(p - 1) * (len(v) // 16) + 1 : p * (len(v) // 16)] as part from kept, range(1, 17) r(p)),
+book0 as materialized (select p, n - 1 as e, part as entry from parts where n <= 64),
+near0 as materialized ({_nearest("book0")}),
+book1 as materialized ({_moved("book0", "near0")}),
+near1 as materialized ({_nearest("book1")}),
+book2 as materialized ({_moved("book1", "near1")}),
+near2 as materialized ({_nearest("book2")}),
+coded as (
+  select n, string_agg(lpad(format('{{:x}}', best.e), 2, '0'), '' order by p) as code, sum(best.d)::bigint as error
+  from near2 group by n),
+digest as (
+  select sha256(string_agg(array_to_string(entry, ','), ',' order by p, e)) as codebooks_sha256 from book2),
+labelled as (select vec_id, label, code, error from coded join kept using (n))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from labelled, digest
+"""
