@@ -1,20 +1,23 @@
 """From wrapper errors to root causes, and from error texts to reasons.
 
 Run details, outputs and event logs are read as tables. A wrapper error points at a
-child by one of three edges; the child frontier of each level is followed with joins,
-so the work per level is one pass whatever the number of failed tasks.
+child by one of three edges. Runs are decided from the deepest up, in rounds of joins that
+only touch the runs still open, whatever the number of failed tasks or the length of a chain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsight.functions.graphs import circles
 from opsight.functions.relational import latest_by
 from opsight.functions.rules import by_value, first_match
+from opsight.scratch import materialize
 
 # Wrapper texts, the run reference pattern, markers, reason rules and advice.
 WRAPPER = (
@@ -170,8 +173,8 @@ class RunTables:
     result_state, state_message, pipeline_id)``, ``outputs(run_id, error, error_trace,
     state_message, child_run_id)`` and ``events(pipeline_id, message, details)``.
 
-    ``cut`` may write the children found at a level to scratch and read them back, so
-    that the levels below are computed once and not for every edge that uses them.
+    ``cut`` writes what a round or level found to scratch and reads it back, so that it is
+    computed once and not for every edge that uses it.
     """
 
     runs: DataFrame
@@ -202,6 +205,15 @@ def _units_of(runs: DataFrame, t: RunTables) -> DataFrame:
     )
 
 
+def _every_unit(t: RunTables) -> DataFrame:
+    """All tasks, also of runs whose detail is gone, and the runs without tasks."""
+    flags = {"lost": F.lit(False), "solo": F.lit(False)}
+    tasks = t.tasks.withColumnsRenamed({"state_message": "unit_message", "task_run_id": "unit_run_id"}).withColumns(flags)
+    alone = t.runs.select("run_id", F.col("run_id").alias("unit_run_id"), F.lit(False).alias("lost"), F.lit(True).alias("solo"))
+    alone = alone.join(t.tasks.select("run_id"), "run_id", "left_anti")
+    return tasks.unionByName(alone, allowMissingColumns=True)
+
+
 def _own_output(units: DataFrame, outputs: DataFrame) -> DataFrame:
     """Units with the output they left behind, or a marker where it is gone."""
     out = outputs.select(
@@ -225,95 +237,167 @@ def _accepted(error: Column) -> Column:
     return F.coalesce(_filled(error).isNotNull() & ~is_wrapper(error, F.lit(None).cast("string")), F.lit(False))
 
 
-def _resolve_units(units: DataFrame, t: RunTables, depth: int, solo_via: str, solo_follows: bool) -> DataFrame:
-    """Add the deepest real error of each unit, following at most ``depth`` levels of children.
+def _edged(units: DataFrame, t: RunTables, solo_via: str, solo_follows: bool) -> DataFrame:
+    """Units with their output, what they say themselves (``_self``), their flow's error (``_at_flow``) and their
+    edges to child runs, ``_job`` before ``_text``.
 
     Solo units follow no edge but references in their text, and those only if ``solo_follows``.
     """
     own = _own_output(units, t.outputs)
-    own_via = F.when(F.col("solo"), solo_via).otherwise("task_output")
-    if depth <= 0:
-        return own.withColumns(
-            {
-                "resolved_error": F.col("error"),
-                "resolved_trace": F.col("error_trace"),
-                "resolved_via": own_via,
-                "resolved_depth": F.lit(0),
-            }
-        )
     wraps, named, unit, solo = F.col("_wraps"), F.col("_named"), F.col("unit_run_id"), F.col("solo")
     by_reference = wraps & (~solo | F.lit(solo_follows)) & ((named != unit) | unit.isNull())
-    edged = own.withColumns(
-        {
-            "_wraps": is_wrapper(F.col("error"), F.col("state_message")),
-            "_named": child_run_id(F.col("error"), F.col("error_trace"), F.col("state_message")),
-        }
-    ).withColumns(
-        {
-            "_flow": F.when(wraps & ~solo, F.col("pipeline_id")),
-            "_job": F.when(wraps & ~solo, F.nullif("_child", F.lit(0))),
-            "_text": F.when(by_reference, F.nullif(named, F.lit(0))),
-        }
-    )
-    ids = (
-        edged.select(F.explode(F.array("_job", "_text")).alias("run_id")).filter("run_id is not null").distinct()
-    )
-    children = _resolve_children(ids, t, depth - 1).filter(_accepted(F.col("resolved_error")))
-    if t.cut:
-        children = t.cut(children, f"children-{depth}")
     flows = t.events.filter(_filled(F.col("message")).isNotNull()).select(
         F.col("pipeline_id").alias("_flow"), F.col("message").alias("_msg"), F.col("details").alias("_details")
     )
-
-    def found_by(edge: str) -> DataFrame:
-        return children.select(F.col("run_id").alias(edge), F.struct(*RESULT).alias(f"{edge}_found"))
-
-    joined = (
-        edged.join(flows, "_flow", "left").join(found_by("_job"), "_job", "left").join(found_by("_text"), "_text", "left")
+    at_self = F.struct(
+        F.col("error").alias("resolved_error"),
+        F.col("error_trace").alias("resolved_trace"),
+        F.when(solo, solo_via).otherwise("task_output").alias("resolved_via"),
+        F.lit(0).alias("resolved_depth"),
     )
-    job, text = F.col("_job_found"), F.col("_text_found")
     at_flow = F.struct(
         F.col("_msg").alias("resolved_error"),
         F.col("_details").alias("resolved_trace"),
         F.concat(F.lit("pipeline_event_log("), "_flow", F.lit(")")).alias("resolved_via"),
         F.lit(1).alias("resolved_depth"),
     )
+    return (
+        own.withColumns(
+            {
+                "_wraps": is_wrapper(F.col("error"), F.col("state_message")),
+                "_named": child_run_id(F.col("error"), F.col("error_trace"), F.col("state_message")),
+            }
+        )
+        .withColumns(
+            {
+                "_flow": F.when(wraps & ~solo, F.col("pipeline_id")),
+                "_job": F.when(wraps & ~solo, F.nullif("_child", F.lit(0))),
+                "_text": F.when(by_reference, F.nullif(named, F.lit(0))),
+            }
+        )
+        .join(flows, "_flow", "left")
+        .withColumns({"_self": at_self, "_at_flow": F.when(F.col("_msg").isNotNull(), at_flow)})
+        .withColumns({edge: F.when(F.col("_msg").isNull(), F.col(edge)) for edge in ("_job", "_text")})
+        .drop("_wraps", "_named", "_flow", "_msg", "_details", "_child")
+    )
+
+
+def _chosen(job: Column, text: Column) -> Column:
+    """What a unit resolves to, given what its children do: flow, then job, then reference, else itself."""
     at_job = job.withField("resolved_depth", job["resolved_depth"] + 1)
     at_text = text.withField("resolved_depth", text["resolved_depth"] + 1).withField(
         "resolved_via", F.concat(F.lit("notebook_run_child/"), text["resolved_via"])
     )
-    at_self = F.struct(
-        F.col("error").alias("resolved_error"),
-        F.col("error_trace").alias("resolved_trace"),
-        own_via.alias("resolved_via"),
-        F.lit(0).alias("resolved_depth"),
-    )
-    found = (
-        F.when(F.col("_msg").isNotNull(), at_flow)
-        .when(job.isNotNull(), at_job)
-        .when(text.isNotNull(), at_text)
-        .otherwise(at_self)
+    return F.coalesce(F.col("_at_flow"), F.when(job.isNotNull(), at_job), F.when(text.isNotNull(), at_text), F.col("_self"))
+
+
+def _resolve_units(units: DataFrame, t: RunTables, depth: int | None, solo_via: str, solo_follows: bool) -> DataFrame:
+    """Add the deepest real error of each unit, following at most ``depth`` levels of children, or all."""
+    edged = _edged(units, t, solo_via, solo_follows)
+    given = [c for c in edged.columns if not c.startswith("_")]
+    if depth is not None and depth <= 0:
+        return edged.select(*given, "_self.*")
+    if depth is None:
+        children = _all_children(t)
+    else:
+        ids = edged.select(F.explode(F.array("_job", "_text")).alias("run_id")).filter("run_id is not null")
+        children = _resolve_children(ids.distinct(), t, depth - 1)
+        if t.cut:
+            children = t.cut(children, f"children-{depth}")
+        children = children.withColumn("_circle", F.lit(None).cast("bigint"))
+    mine = children.filter("_circle is not null").select("run_id", F.col("_circle").alias("_mine"))
+    children = children.filter(_accepted(F.col("resolved_error")))
+    joined = edged.join(mine, "run_id", "left")
+    for edge in ("_job", "_text"):
+        found = children.select(
+            F.col("run_id").alias(edge), F.struct(*RESULT).alias(f"{edge}_found"), F.col("_circle").alias(f"{edge}_circle")
+        )
+        same = F.coalesce(F.col("_mine") == F.col(f"{edge}_circle"), F.lit(False))
+        joined = joined.join(found, edge, "left").withColumn(f"{edge}_found", F.when(~same, F.col(f"{edge}_found")))
+    return joined.select(*given, _chosen(F.col("_job_found"), F.col("_text_found")).alias("_found")).select(*given, "_found.*")
+
+
+def _all_children(t: RunTables) -> DataFrame:
+    """What every run resolves to that a wrapper error names, however long the chain behind it, and its ``_circle``.
+
+    Runs are decided from the deepest up: a round decides the runs all of whose units are settled,
+    and only what it decided meets the open units of the next, so the work is that of the
+    levels there are, and each run is decided once. When a round decides nothing, the open
+    runs stand on circles or wait for one: edges on circles are given up there, so that a unit on
+    a circle ends as its wrapper (unless it has another edge), and the rounds go on.
+    """
+    cut = t.cut or materialize
+    edges = _edged(_every_unit(t), t, "child_run_output", True).select(F.explode(F.array("_job", "_text")).alias("run_id"))
+    named = cut(edges.filter("run_id is not null").distinct(), "named-runs")
+    run = Window.partitionBy("run_id")
+    # only failed tasks count where a run has any
+    failed = F.coalesce(F.col("result_state").isin(FAILED), F.lit(False))
+    nothing = F.lit(None).cast("struct<resolved_error string, resolved_trace string, resolved_via string, resolved_depth int>")
+    waits = F.coalesce("_job", "_text").isNotNull()
+    units = (
+        _edged(_units_of(named, t), t, "child_run_output", True)
+        .withColumn("_counts", failed | ~F.max(failed).over(run))
+        .filter("_counts")
+        .select("run_id", "task_order", "result_state", "solo", "lost", "_self", "_at_flow", "_job", "_text")
+        .withColumns({"_job_found": nothing, "_text_found": nothing, "_open": F.max(waits).over(run)})
     )
-    return joined.withColumn("_found", found).select(*own.columns, "_found.*")
+    units = cut(units, "units")
+    decided = cut(_best_of(units.filter("not _open")), "decided")
+    done, on = [decided], None
+    units = units.filter("_open")
+    while not units.isEmpty():
+        known = decided.select(
+            "run_id", F.when(_accepted(F.col("resolved_error")), F.struct(*RESULT)).alias("_got"), F.lit(True).alias("_known")
+        )
+        for edge in ("_job", "_text"):
+            found, left = F.coalesce(f"{edge}_found", "_got"), F.when(F.col("_known").isNull(), F.col(edge))
+            units = units.join(known.withColumnRenamed("run_id", edge), edge, "left")
+            units = units.withColumns({f"{edge}_found": found, edge: left}).drop("_got", "_known")
+        units = cut(units.withColumn("_open", F.max(waits).over(run)), "units")
+        decided = cut(_best_of(units.filter("not _open")), "decided")
+        done.append(decided)
+        units = units.filter("_open")
+        if decided.isEmpty() and not units.isEmpty():
+            on = circles(units.select(F.col("run_id").alias("src"), F.explode(F.array("_job", "_text")).alias("dst")), cut)
+            units = cut(_without_circles(units, on), "units")
+    runs = reduce(DataFrame.unionByName, done)
+    if on is None:
+        return runs.withColumn("_circle", F.lit(None).cast("bigint"))
+    return runs.join(on.select(F.col("node").alias("run_id"), F.col("circle").alias("_circle")), "run_id", "left")
+
+
+def _without_circles(units: DataFrame, on: DataFrame) -> DataFrame:
+    """Open units without the edges whose two runs stand on one circle."""
+    units = units.join(on.select(F.col("node").alias("run_id"), F.col("circle").alias("_mine")), "run_id", "left")
+    for edge in ("_job", "_text"):
+        theirs = on.select(F.col("node").alias(edge), F.col("circle").alias("_theirs"))
+        same = F.coalesce(F.col("_mine") == F.col("_theirs"), F.lit(False))
+        units = units.join(theirs, edge, "left").withColumn(edge, F.when(~same, F.col(edge))).drop("_theirs")
+    return units.drop("_mine")
 
 
 def _resolve_children(ids: DataFrame, t: RunTables, depth: int) -> DataFrame:
-    """One result per child run: its first failed task (any task if none failed) with a real error."""
-    resolved = _resolve_units(_units_of(ids, t), t, depth, "child_run_output", True)
-    good, failed = _accepted(F.col("resolved_error")), F.col("result_state").isin(FAILED)
-    found = F.struct(*RESULT)
-    order = F.col("task_order")
-    best = (
-        resolved.withColumn("_good", good)
-        .groupBy("run_id")
-        .agg(
-            F.bool_or("solo").alias("_solo"),
-            F.bool_or("lost").alias("_lost"),
-            F.coalesce(F.bool_or(failed), F.lit(False)).alias("_any_failed"),
-            F.min_by(found, F.when(F.col("_good") & failed, order)).alias("_failed"),
-            F.min_by(found, F.when(F.col("_good"), order)).alias("_any"),
-            F.first(F.when(F.col("solo"), found), ignorenulls=True).alias("_own"),
-        )
+    """One result per child run, following at most ``depth`` levels below it."""
+    units = _resolve_units(_units_of(ids, t), t, depth, "child_run_output", True)
+    return _picked(units.withColumn("_found", F.struct(*RESULT)))
+
+
+def _best_of(units: DataFrame) -> DataFrame:
+    """One result per run whose units are settled."""
+    return _picked(units.withColumn("_found", _chosen(F.col("_job_found"), F.col("_text_found"))))
+
+
+def _picked(units: DataFrame) -> DataFrame:
+    """Of each run its first failed task (any task if none failed) with a real error, from ``_found``."""
+    found, order = F.col("_found"), F.col("task_order")
+    good, failed = _accepted(found["resolved_error"]), F.col("result_state").isin(FAILED)
+    best = units.groupBy("run_id").agg(
+        F.bool_or("solo").alias("_solo"),
+        F.bool_or("lost").alias("_lost"),
+        F.coalesce(F.bool_or(failed), F.lit(False)).alias("_any_failed"),
+        F.min_by(found, F.when(good & failed, order)).alias("_failed"),
+        F.min_by(found, F.when(good, order)).alias("_any"),
+        F.first(F.when(F.col("solo"), found), ignorenulls=True).alias("_own"),
     )
     task = F.when(F.col("_any_failed"), F.col("_failed")).otherwise(F.col("_any"))
     pick = F.when(F.col("_solo"), F.col("_own")).otherwise(task)
@@ -331,15 +415,13 @@ def _resolve_children(ids: DataFrame, t: RunTables, depth: int) -> DataFrame:
     )
 
 
-def resolve_root_cause(tables: RunTables, depth: int = 2) -> DataFrame:
+def resolve_root_cause(tables: RunTables, depth: int | None = None) -> DataFrame:
     """Every task with its own error and the deepest real error found behind it.
 
-    Children are followed ``depth`` levels; a circle of runs has no deepest cause, so the
-    number is the caller's to give.
+    Children are followed as far as they lead, or ``depth`` levels. An edge between two runs of one
+    circle is not followed where ``depth`` is not given, so a circle ends as its wrapper.
     """
-    units = tables.tasks.withColumnsRenamed({"state_message": "unit_message", "task_run_id": "unit_run_id"})
-    units = units.withColumns({"lost": F.lit(False), "solo": F.lit(False)})
-    return _resolve_units(units, tables, depth, "task_output", False).select(
+    return _resolve_units(_every_unit(tables).filter(~F.col("solo")), tables, depth, "task_output", False).select(
         "run_id",
         "task_key",
         "task_order",
@@ -352,7 +434,7 @@ def resolve_root_cause(tables: RunTables, depth: int = 2) -> DataFrame:
 
 
 def enriched_errors(
-    candidates: DataFrame, names: DataFrame, tables: RunTables, depth: int = 2
+    candidates: DataFrame, names: DataFrame, tables: RunTables, depth: int | None = None
 ) -> DataFrame:
     """Candidate runs with their error texts: one row per task, one for a run without
     tasks, and a marker row for a run whose detail is gone."""

@@ -50,10 +50,10 @@ def settle_rounds(sql: str) -> str:
     return out + rest
 
 
-def oracle(logical: str, *steps: str) -> str:
+def oracle(logical: str, *steps: str, recursive: bool = False) -> str:
     """``WITH`` the named logical tables, then the given CTE steps; the last is the SELECT."""
     ctes = [logical_cte(n) for n in logical.split()] + list(steps[:-1])
-    head = "with " + ",\n".join(ctes) + "\n" if ctes else ""
+    head = ("with recursive " if recursive else "with ") + ",\n".join(ctes) + "\n" if ctes else ""
     return settle_rounds(head + steps[-1])
 
 

@@ -11,8 +11,6 @@ from opsight.plans import expected as e
 from opsight.plans.common import Inputs, oracle, query
 from opsight.scratch import materialize
 
-DEPTH = 4
-
 
 def _tables(t: Inputs) -> rc.RunTables:
     return rc.RunTables(
@@ -31,7 +29,7 @@ def _candidates(t: Inputs):
 
 
 def _enriched(t: Inputs):
-    return rc.enriched_errors(_candidates(t), t.logical("fx_workspaces"), _tables(t), DEPTH)
+    return rc.enriched_errors(_candidates(t), t.logical("fx_workspaces"), _tables(t))
 
 
 def _summary(t: Inputs):
@@ -62,7 +60,7 @@ QUERIES = {
     "wrapper_errors": query(_wrappers),
     "child_run_ids": query(_child_ids),
     "event_log_errors": query(lambda t: rc.event_log_errors(t.logical("fx_event_log"))),
-    "root_cause": query(lambda t: rc.resolve_root_cause(_tables(t), DEPTH)),
+    "root_cause": query(lambda t: rc.resolve_root_cause(_tables(t))),
     "enriched_errors": query(_enriched),
     "code_failure_reason": query(
         lambda t: rc.classify_reason(t.logical("fx_task_errors")).select("run_id", "task_key", "code_failure_reason")
@@ -97,32 +95,48 @@ edges as (select * exclude (wraps, named), case when wraps and not solo then pip
 u0 as (select *, error as re, error_trace as rt, case when solo then 'child_run_output' else 'task_output' end as rv, 0 as rd from edges)"""
 
 
-def _children(n: int) -> str:
-    good = f"(nullif(re, '') is not null and not {_wraps('re')})"
-    picks = f"""select *, row_number() over (partition by run_id order by case when solo or {good} then 0 else 1 end,
-      case when result_state in ('FAILED', 'ERROR', 'TIMEDOUT') then 0 else 1 end, task_order) as rn,
-      bool_or(coalesce(result_state in ('FAILED', 'ERROR', 'TIMEDOUT'), false)) over (partition by run_id) as any_failed, {good} as good from u{n}"""
-    found = "(good and (not any_failed or result_state in ('FAILED', 'ERROR', 'TIMEDOUT')))"
-    return f"""c{n} as materialized (select run_id, case when solo or {found} then re end as re, case when solo or {found} then rt end as rt,
-  case when solo then rv when {found} then 'child_run/' || rv else 'child_run' end as rv, case when solo or {found} then rd else 0 end as rd
-  from ({picks}) x where rn = 1
-  union all select id, '{e.NO_CHILD}', null, 'child_run', 0 from (select job as id from edges union select ref from edges) i
-    where id is not null and id not in (select run_id from fx_runs)),
-k{n} as (select * from c{n} where nullif(re, '') is not null and not {_wraps('re')})"""
-
-
-def _units(n: int) -> str:
-    return f"""u{n} as materialized (select e.*,
-  case when w.message is not null then w.message when j.run_id is not null then j.re when r.run_id is not null then r.re else e.error end as re,
-  case when w.message is not null then w.details when j.run_id is not null then j.rt when r.run_id is not null then r.rt else e.error_trace end as rt,
-  case when w.message is not null then 'pipeline_event_log(' || e.flow || ')' when j.run_id is not null then j.rv
-    when r.run_id is not null then 'notebook_run_child/' || r.rv when e.solo then 'child_run_output' else 'task_output' end as rv,
-  case when w.message is not null then 1 when j.run_id is not null then j.rd + 1 when r.run_id is not null then r.rd + 1 else 0 end as rd
-  from edges e left join flows w on e.flow = w.pipeline_id left join k{n - 1} j on e.job = j.run_id left join k{n - 1} r on e.ref = r.run_id)"""
-
-
-RESOLVED = (FLOWS, UNITS, *(text for n in range(DEPTH) for text in (_children(n), _units(n + 1))))
-DEEPEST = f"u{DEPTH}"
+# Every way from a unit along its edges, first the job's, then the reference's, then in task order: the first
+# real error on the way counts. Edges between two runs of one circle are not taken.
+WALK = f"""counting as (select *, row_number() over () as id from (
+  select *, bool_or(coalesce(result_state in ('FAILED', 'ERROR', 'TIMEDOUT'), false)) over (partition by run_id) as any_failed from edges) x),
+said as materialized (select c.*, w.message, w.details,
+  not any_failed or coalesce(result_state in ('FAILED', 'ERROR', 'TIMEDOUT'), false) as counts,
+  case when w.message is null then job end as alt1, case when w.message is null then ref end as alt2
+  from counting c left join (select * from flows where nullif(message, '') is not null) w on c.flow = w.pipeline_id),
+links as materialized (select distinct run_id as a, unnest([alt1, alt2]) as b from said where counts),
+reach as (select a, b from links where b in (select run_id from fx_runs)
+  union select r.a, l.b from reach r join links l on r.b = l.a where l.b in (select run_id from fx_runs)),
+circle as materialized (select x.a, x.b from reach x join reach y on x.a = y.b and x.b = y.a),
+steps as materialized (select s.id as from_id, s.n as alt, k.id as to_id, k.task_order, k.solo as to_solo
+  from (select id, run_id, 1 as n, alt1 as child from said where alt1 is not null
+        union all select id, run_id, 2, alt2 from said where alt2 is not null) s
+  left join said k on s.child = k.run_id and k.counts and s.child in (select run_id from fx_runs)
+  where not exists (select 1 from circle c where c.a = s.run_id and c.b = s.child)),
+walk as (
+  select id as start, id as at, []::bigint[] as path, '' as via, 0 as d from said
+  union all
+  select w.start, s.to_id, w.path || [s.alt::bigint, coalesce(s.task_order, 0)::bigint],
+    w.via || case when s.alt = 2 then 'notebook_run_child/' else '' end || case when s.to_id is null then 'child_run' when s.to_solo then '' else 'child_run/' end,
+    w.d + 1
+  from walk w join steps s on w.at = s.from_id),
+ends as (
+  select w.start, w.path, case when w.at is null then '{e.NO_CHILD}' else coalesce(s.message, s.error) end as re,
+    case when s.message is not null then s.details else s.error_trace end as rt,
+    w.via || case when w.at is null then '' when s.message is not null then 'pipeline_event_log(' || s.flow || ')'
+      when s.solo then 'child_run_output' else 'task_output' end as rv,
+    w.d + case when s.message is not null then 1 else 0 end as rd
+  from walk w left join said s on w.at = s.id where w.d > 0),
+first as materialized (select start, min_by(struct_pack(re := re, rt := rt, rv := rv, rd := rd), path) as f
+  from ends where nullif(re, '') is not null and not {_wraps('re')} group by start),
+best as materialized (select s.* exclude (id, any_failed, message, details, counts, alt1, alt2),
+  case when s.message is not null then s.message when f.start is not null then f.f.re else s.error end as re,
+  case when s.message is not null then s.details when f.start is not null then f.f.rt else s.error_trace end as rt,
+  case when s.message is not null then 'pipeline_event_log(' || s.flow || ')' when f.start is not null then f.f.rv
+    when s.solo then 'child_run_output' else 'task_output' end as rv,
+  case when s.message is not null then 1 when f.start is not null then f.f.rd else 0 end as rd
+  from said s left join first f on s.id = f.start)"""
+RESOLVED = (FLOWS, UNITS, WALK)
+DEEPEST = "best"
 ENRICHED = f"""{pf.RANKED},
 mine as (select * from terminal where result_state in ('FAILED', 'ERROR', 'TIMEDOUT')),
 found as (select * from {DEEPEST} where not solo union all select * from u0 where solo),
@@ -155,8 +169,9 @@ ORACLE = {
         _RUNS, *RESOLVED,
         f"""select run_id, task_key, task_order, unit as task_run_id, state_message, error, error_trace, re as resolved_error,
   rt as resolved_trace, rv as resolved_via, rd as resolved_depth from {DEEPEST} where not solo""",
+        recursive=True,
     ),
-    "enriched_errors": oracle(_ALL, *RESOLVED, ENRICHED, "select * from enriched"),
+    "enriched_errors": oracle(_ALL, *RESOLVED, ENRICHED, "select * from enriched", recursive=True),
     "code_failure_reason": oracle(
         "fx_task_errors", _reason("fx_task_errors"), "select run_id, task_key, code_failure_reason from classified"
     ),
@@ -174,5 +189,6 @@ from classified group by code_failure_reason""",
   count(*) as enriched_task_rows,
   cast(count_if({_REAL.format('resolved_error')} or {_REAL.format('error')}) as bigint) as rows_with_real_error_text,
   cast(count_if(depth > 0 and {_REAL.format('resolved_error')}) as bigint) as rows_resolved_via_child_drilldown from enriched""",
+        recursive=True,
     ),
 }
