@@ -42,6 +42,11 @@ def _levels(t: Inputs):
     return g.view_levels(edges.select("view").distinct(), edges)
 
 
+def _circles(t: Inputs):
+    edges = t.logical("fx_view_edges")
+    return g.view_circles(edges.select("view").distinct(), edges)
+
+
 # ---- principals ----------------------------------------------------------------------
 
 
@@ -87,6 +92,7 @@ QUERIES = {
     "rewrite_views": query(lambda t: g.rewrite_views(t.logical("fx_views"), TARGET).select("view_name", "new_text")),
     "check_views": query(_checked),
     "view_levels": query(_levels),
+    "view_circles": query(_circles),
     "rewrite_ddl": query(lambda t: g.rewrite_ddl(t.logical("fx_ddl")).select("target", "new_ddl", "error")),
     "deprecation_comment": query(_comments),
     "users_to_create": query(_to_create),
@@ -184,6 +190,18 @@ reach as (with recursive r as (select view, depends_on, 1 as n from inner_edges
   case when max(coalesce(r.n, 0)) >= 60 then 'FAILED' else 'OK' end as status
 from names n left join reach r on n.view = r.view group by n.view""",
     ),
+    "view_circles": oracle(
+        "fx_view_edges",
+        """names as (select distinct view from fx_view_edges),
+links as (select distinct view as a, depends_on as b from fx_view_edges where depends_on in (select view from names)),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+members as (select x.a as view, min(x.b) as circle from reach x join reach y on x.a = y.b and x.b = y.a group by x.a),
+ahead as (select r.a as view, min(m.circle) as circle from reach r join members m on r.b = m.view group by r.a)""",
+        """select n.view, case when h.view is null then 'OK' else 'FAILED' end as status, m.circle,
+  case when m.circle is null then h.circle end as waits_for
+from names n left join members m on n.view = m.view left join ahead h on n.view = h.view""",
+        recursive=True,
+    ),
     "rewrite_ddl": oracle(
         "fx_ddl",
         """select target, case when p_partkey % 3 <> 2 then 'CREATE TABLE IF NOT EXISTS ' || target || ' (id INT)' || chr(10) || 'USING csv' || chr(10)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsight.plans import cost, failures, maintenance, planning, root_cause, router, serving, sinks, utilization
+from opsight.plans import cost, failures, maintenance, planning, root_cause, router, serving, sinks, storage, utilization
 
-GROUPS = [failures, cost, utilization, serving, maintenance, router, root_cause, planning, sinks]
+GROUPS = [failures, cost, utilization, serving, maintenance, router, root_cause, planning, sinks, storage]
 
 
 def all_queries() -> dict:

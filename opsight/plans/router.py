@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from opsight.operators import ingest as i
 from opsight.operators import router as r
+from opsight.operators.content import differences
 from opsight.plans.common import AS_OF, Inputs, oracle, query
 from opsight.scratch import scratch_path
 from opsight.sources.batch_log import BatchLog
 from opsight.streaming import ingest as si
 from opsight.streaming import router as sr
+from opsight.streaming import settle as ss
+from opsight.windows import ts_lit
 
 RUN = "run-1"
 KEY, TS, TIE = "statement_id", "update_time", ["status"]
@@ -33,7 +38,7 @@ def _upsert(t: Inputs):
     return i.upsert(first, emitted.filter(~F.col("status").isin("stale", "undated")), KEY, TS, TIE)
 
 
-def _stream(t: Inputs):
+def _stream(t: Inputs, fold: bool = False):
     """Three drops of files, the stream run after each: late, repeated and corrected rows."""
     spark = t.spark
     source, sink_path, checkpoint = (scratch_path(spark, n) for n in ("emitted", "sink", "checkpoint"))
@@ -43,9 +48,20 @@ def _stream(t: Inputs):
         part = emitted.filter(F.col("status").isin(drop)) if drop else emitted.filter(F.col("status") != "undated")
         part.write.mode("append").parquet(source)
         si.ingest(spark, source, emitted.schema, sink, checkpoint)
+        if fold:
+            sink.fold()
     return sink.read()
 
 
+def _mismatch(t: Inputs):
+    """The ingested rows against a copy that lost some, changed some and has some that are new."""
+    rows = i.latest_in_batch(_emissions(t), KEY, TS, TIE)
+    late = F.when(F.col(KEY) % 97 == 5, F.col("amount") + 1).otherwise(F.col("amount"))
+    copy = rows.filter(F.col(KEY) % 101 != 7).withColumn("amount", late)
+    extra = rows.filter(F.col(KEY) % 103 == 9).withColumn(KEY, -F.col(KEY))
+    return differences(rows, copy.unionByName(extra), KEY)
+
+
 def _reconcile(t: Inputs):
     return i.reconcile(_dedupe(t), _emissions(t))
 
@@ -112,11 +128,29 @@ def _route(t: Inputs):
     return last.select("report_id", "refresh", "reason")
 
 
+def _settled(t: Inputs):
+    """Two drops of update events in order of time, the stream started anew for the second."""
+    spark = t.spark
+    source, checkpoint, out = (scratch_path(spark, n) for n in ("update-events", "settle-checkpoint", "settled"))
+    events = t.logical("fx_update_events")
+    needs = t.logical("fx_report_config").filter("enabled").join(t.logical("fx_report_dependencies"), "report_id")
+    middle = ts_lit(t.as_of() - timedelta(days=12))
+    for drop in (F.col("observed_ts") < middle, F.col("observed_ts") >= middle):
+        events.filter(drop).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        ss.settle_stream(ss.report_events(stream, needs), out, checkpoint)
+    times = ("decided_at", "burst_start", "burst_end")
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
 QUERIES = {
     "ingest_dedupe": query(_dedupe),
     "ingest_upsert": query(_upsert),
     "ingest_stream": query(_stream),
+    "ingest_folded": query(lambda t: _stream(t, True)),
     "ingest_reconcile": query(_reconcile),
+    "ingest_mismatch": query(_mismatch),
+    "settled_decisions": query(_settled),
     "updated_tables": query(lambda t: r.parse_updates(t.logical("fx_updates"))),
     "match_reports": query(lambda t: r.match_reports(_mapping(t), r.parse_updates(_payloads(t)))),
     "refresh_list": query(lambda t: r.refresh_list(_mapping(t), _hourly(t))),
@@ -184,6 +218,32 @@ ORACLE = {
     "ingest_dedupe": oracle("fx_emissions", _newest("true")),
     "ingest_upsert": oracle("fx_emissions", _newest("true")),
     "ingest_stream": oracle("fx_emissions", _newest("true")),
+    "ingest_folded": oracle("fx_emissions", _newest("true")),
+    "ingest_mismatch": oracle(
+        "fx_emissions",
+        f"""mine as ({_newest("true")}),
+theirs as (select statement_id, status, case when statement_id % 97 = 5 then amount + 1 else amount end as amount, update_time
+  from mine where statement_id % 101 <> 7
+  union all select -statement_id, status, amount, update_time from mine where statement_id % 103 = 9)""",
+        """select coalesce(m.statement_id, t.statement_id) as statement_id,
+  case when t.statement_id is null then 'only_left' when m.statement_id is null then 'only_right' else 'changed' end as status,
+  case when m.statement_id is null then 0 else 1 end as rows_left, case when t.statement_id is null then 0 else 1 end as rows_right
+from mine m full join theirs t on m.statement_id = t.statement_id
+where m.statement_id is null or t.statement_id is null or m.amount is distinct from t.amount""",
+    ),
+    # the settle time is longer than the least interval here, so a burst alone says when it is decided
+    "settled_decisions": oracle(
+        "fx_update_events fx_report_config fx_report_dependencies", ALL, UPDATES,
+        """needs as (select distinct report_id, lower(source_table) as source_table from fx_report_config c
+  join fx_report_dependencies d using (report_id) where c.enabled),
+seen as (select n.report_id, l.observed_ts as moment, count(*) as n from listed l, unnest(list_distinct(l.names)) x(source_table) join needs n using (source_table) group by all),
+starts as (select *, case when moment < lag(moment) over w + interval 90 second then 0 else 1 end as opens from seen
+  window w as (partition by report_id order by moment)),
+bursts as (select *, sum(opens) over (partition by report_id order by moment rows unbounded preceding) as burst from starts),
+decided as (select report_id, max(moment) + interval 90 second as decided_at, min(moment) as burst_start, max(moment) as burst_end, cast(sum(n) as bigint) as events
+  from bursts group by report_id, burst)""",
+        "select * from decided where decided_at < (select max(moment) from seen) - interval 1 millisecond",
+    ),
     "ingest_reconcile": oracle(
         "fx_emissions",
         "select count(distinct statement_id) as rows_left, count(*) as rows_right from fx_emissions",

@@ -234,3 +234,15 @@ def test_ddl_and_comments(spark):
         "This table is deprecated. Please use n instead of o. note", "This table is deprecated. Please use n instead of o.",
     ]
     assert [r.c for r in twice.select(g.copied_comment(F.col("c")).alias("c")).collect()] == ["note", None]
+
+
+def test_view_circles_and_what_waits_for_them(spark):
+    edges = [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("e", "e"), ("d", "e"), ("f", "base"), ("g", "f"), ("a", "base"), ("h", "a"), ("h", "f")]
+    df = spark.createDataFrame(edges + [("c", "a"), ("g", None)], "view string, depends_on string")
+    names = spark.createDataFrame([(v,) for v in "abcdefghi"], "view string")
+    got = {r.view: (r.status, r.circle, r.waits_for) for r in g.view_circles(names, df).collect()}
+    assert got == {
+        "a": ("FAILED", "a", None), "b": ("FAILED", "a", None), "c": ("FAILED", None, "a"), "d": ("FAILED", None, "a"),
+        "e": ("FAILED", "e", None), "f": ("OK", None, None), "g": ("OK", None, None), "h": ("FAILED", None, "a"), "i": ("OK", None, None),
+    }
+    assert g.view_circles(names.limit(0), df.limit(0)).count() == 0
