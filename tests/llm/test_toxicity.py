@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from opsight.llm.toxicity import toxicity
+from opsight.llm.toxicity import PAD, Distance, toxicity
 
 INSULTS = "wretchedfool miserableclod vileswine rottenscum".split()
 
@@ -38,6 +38,39 @@ def test_held_out_accuracy(spark, documents):
     assert not got[5000]["predicted"] and got[5000]["score"] == got[5001]["score"]
 
 
+def test_a_language_of_few_labels(spark, documents):
+    """Twenty toxic texts in another script and with endless endings of one stem are enough to find others."""
+    rows, labels = corpus(1500)
+    chance = random.Random(5)
+    parts = "жа ро ми лен тас уль ве сон дор би кра".split()
+    word = lambda: "".join(chance.choices(parts, k=chance.randint(1, 3)))
+    for i in range(10_000, 10_200):
+        text, toxic = [word() for _ in range(100)], int(i % 5 == 0)
+        for _ in range(6 * toxic):
+            text.insert(chance.randrange(100), "гнусняк" + word())
+        rows.append((i, " ".join(text), "xx", "s"))
+        labels.append((i, 1, toxic))
+    known = sum(t for i, _, t in labels if i >= 10_000 and not held_out(i))
+    assert 20 <= known <= 35
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(documents(rows), table).collect()}
+    tested = [(got[i], t) for i, _, t in labels if i >= 10_000 and held_out(i)]
+    assert sum(p for p, t in tested if t) >= 0.8 * sum(t for _, t in tested)
+    assert sum(p for p, t in tested if not t) <= 0.1 * len(tested)
+
+
+def test_counts_by_a_plain_loop():
+    distance = Distance(b" ka lo mi ren tas ", b" wretchedfool vileswine ")
+    text = "Ka lo wretchedfool, mi vileswine! ren 12 wretchedfoolish"
+    saved = []
+    for word in text.lower().replace(",", "").replace("!", "").split():
+        if word != "12":
+            window = b" " + word.encode() + b" " + PAD
+            saved.append(len(distance.plain(window)) - len(distance.both(window)))
+    assert distance.counts(text) == [7, *[sum(s >= k for s in saved) for k in range(1, 9)]]
+    assert distance.counts(text)[3] >= 3 and distance.counts(None) == [0] * 9
+
+
 def test_held_out_labels_are_not_used(spark, documents):
     rows, labels = corpus(300)
     flipped = [(i, q, 1 - t if held_out(i) else t) for i, q, t in labels]
