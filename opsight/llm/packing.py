@@ -50,7 +50,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.known: dict[str, bytes] = {}
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printed]
@@ -65,7 +66,7 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self.special.search(text):
             encoded = self.tokenizer.encode(text, add_special_tokens=False)
             return np.array(encoded.ids, dtype="<u4").tobytes()
         known, piece = self.known.get, self._piece

@@ -120,7 +120,7 @@ def _judged(name: str, sample: str) -> str:
   from measured m left join {name}_ref r on m.lang is not distinct from r.lang)"""
 
 
-_NEAR = "coalesce(class_distance <= 0.25, true) and coalesce(word_distance <= 0.32, true)"
+_NEAR = "coalesce(class_distance <= 0.25, true) and coalesce(word_distance <= 0.28, true)"
 
 ORACLE["op4_quality_rules"] = f"""
 with t as (

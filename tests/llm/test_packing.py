@@ -16,10 +16,17 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_read_as_the_tokenizer_reads_them():
+    encode = Encoder(PATH)
+    plain = Tokenizer.from_file(PATH)
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext|", "日<|endoftext|>"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encode("a <|endoftext|> b"), "<u4")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text("ab'tsÉ é²3\n\t  .,\x1c\x85", max_size=40))
 def test_encoder_gives_the_tokenizer_ids(text):

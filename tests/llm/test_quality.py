@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from opsight.llm.quality import js_distance, quality_rules
+from opsight.llm.quality import common_words, js_distance, quality_rules
 from tests.llm.conftest import words
 
 
@@ -58,6 +58,23 @@ def test_verdicts(documents):
     assert not kept & {100, 101, 102, 103, 104, 105}
 
 
+def test_other_languages_and_texts_without_common_words_go(spark):
+    """The given documents, some under another language's name, some without their language's commonest words."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("kind", F.lit("own"))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1").select("doc_id")
+    french = docs.filter("lang = 'fr' and doc_id % 5 = 0").withColumns({"lang": F.lit("en"), "kind": F.lit("french")})
+    known = common_words(docs, 16, "text", "lang").select(F.expr("substr(_lang, 2)").alias("lang"), "_common")
+    rest = F.array_except(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.col("_common"))
+    bare = docs.filter("doc_id % 4 = 0").join(known, "lang").filter(F.size(rest) >= 120)
+    bare = bare.withColumns({"text": F.array_join(F.slice(rest, 1, 120), " "), "kind": F.lit("bare")}).select(docs.columns)
+    every = docs.unionByName(french).unionByName(bare).withColumn("key", F.struct("kind", "doc_id"))
+    got = quality_rules(every, id_col="key").filter("not base_failed").select("key.*", "kept")
+    share = {r["kind"]: r["share"] for r in got.groupBy("kind").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share["french"] < 0.1 and share["bare"] < 0.1
+    clean = got.filter("kind = 'own'").join(labels, "doc_id").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert clean >= 0.98
+
+
 def test_distance_of_histograms(spark):
     row = spark.range(1).select(
         js_distance(F.array(F.lit(1), F.lit(0)), F.array(F.lit(0), F.lit(5))).alias("far"),
