@@ -189,7 +189,7 @@ def quality_rules(
     least_words: int = 10,
     most_repeated: int = 20,
     guard_chars: int = 200,
-    guard_words: int = 80,
+    guard_words: int = 70,
     most_class_distance: float = 0.25,
     most_word_distance: float = 0.28,
 ) -> DataFrame:

@@ -116,7 +116,7 @@ def _judged(name: str, sample: str) -> str:
 {name}_ref as (select lang, [{classes}] as classes, [{known}] as known from {sample} group by lang),
 {name} as (
   select m.*, case when n_chars >= 200 then {by_class} end as class_distance,
-         case when n_words >= 80 then {by_word} end as word_distance
+         case when n_words >= 70 then {by_word} end as word_distance
   from measured m left join {name}_ref r on m.lang is not distinct from r.lang)"""
 
 
