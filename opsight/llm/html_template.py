@@ -39,18 +39,21 @@ INLINE = set(
     "strike strong sub sup time tt u var wbr".split()
 )
 RAW = set("script style noscript template textarea title iframe svg math object select option video audio canvas".split())
+PLAIN = set("script style textarea title iframe xmp noembed noframes".split())  # of these, raw to their own end tag
 LEFT_OUT = set("head nav footer aside form button dialog menu fieldset".split())
 CONTENT = {"article", "main"}
 HOLDERS = LEFT_OUT | CONTENT | {"header", "div", "section", "ul", "ol", "dl", "table", "figure", "details", "body", "html"}
 # Words of class, id and role that mark what is not the article.
 MARKS = set(
     "ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion cookie cookies consent "
-    "notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar side widget menu nav "
+    "notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar widget menu nav "
     "navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus "
     "discussion share sharing social related recommended recommendations login search searchbox toolbar pager "
-    "pagination skip legal copyright contentinfo complementary dialog form tags meta".split()
+    "pagination skip legal copyright contentinfo complementary dialog".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*[^>]*(?:>|\Z)|[^<]+|<", re.S)
+# a quoted attribute value may hold ">"; a quote that is never closed is an ordinary character
+_TAG = r"""</?[a-zA-Z][^\s/>]*+(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+(?:>|\Z)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|{_TAG}|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -83,7 +86,7 @@ def parse(page: str) -> list[str | Text]:
     parts: list[str] = []
     links = 0
     in_link = False
-    skip = ""
+    skip = muted = ""
 
     def flush() -> None:
         nonlocal links
@@ -91,10 +94,12 @@ def parse(page: str) -> list[str | Text]:
         parts.clear()
         if words:
             _, inside, out = stack[-1] if stack else ("", False, False)
-            tokens.append(Text(words, links, inside, out))
+            tokens.append(Text(words, links, inside, out or bool(muted)))
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         raw = m.group()
         if raw[0] != "<" or raw == "<":
             if not skip:
@@ -118,15 +123,22 @@ def parse(page: str) -> list[str | Text]:
             continue
         flush()
         in_link = False
+        if name == muted or name in HOLDERS:
+            muted = ""  # a marked paragraph or other block ends with its tag, the next of its kind or its holder
+        if not closing and name not in HOLDERS and name not in RAW and marked(raw):
+            muted = name
         marks = " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in _MARKED.findall(raw)) if not closing else ""
         tokens.append(f"</{name}>" if closing else f"<{name} {marks}>")
-        if name in RAW and not closing and not raw.endswith("/>"):
+        if name in PLAIN and not closing:
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+            at = end.start() if end else len(page)
+        elif name in RAW and not closing and not raw.endswith("/>"):
             skip = name
         elif name in HOLDERS:
             if closing:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if at >= 0:
-                    del stack[at:]
+                open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+                if open_ >= 0:
+                    del stack[open_:]
             elif not raw.endswith("/>"):
                 _, inside, out = stack[-1] if stack else ("", False, False)
                 if name in ("html", "body"):
@@ -145,13 +157,23 @@ def token_hash(token: str | Text) -> int:
     return int.from_bytes(hashlib.blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def body_hash(parsed: list[str | Text]) -> int:
+    """What tells copies of a page: its longest text block, of those in an article if there are any."""
+    blocks = [t for t in parsed if isinstance(t, Text)]
+    best = max(blocks, key=lambda t: (t.inside, not t.out, len(t.text), t.text), default=None)
+    return token_hash(best) if best is not None else 0
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, count of every page's tokens."""
+    """body, host, token, count of every page's tokens; token 0 stands for the page itself."""
     for batch in batches:
         rows: list[tuple] = []
-        for page, host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(page, host, k, n) for k, n in Counter(map(token_hash, parse(text))).items()]
-        yield _batch(rows, [pa.int64(), pa.string(), pa.int64(), pa.int64()], ["_page", "_host", "_token", "_count"])
+        for host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parsed = parse(text)
+            body = body_hash(parsed)
+            rows.append((body, host, 0, 1))
+            rows += [(body, host, k, n) for k, n in Counter(map(token_hash, parsed)).items()]
+        yield _batch(rows, [pa.int64(), pa.string(), pa.int64(), pa.int64()], ["_body", "_host", "_token", "_count"])
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -201,23 +223,19 @@ def _validity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(page: str, constant: set[int], root: set[int], link_slots: set[int]) -> str:
-    """Text of the article's blocks.
+    """Text of the article's blocks: those in an article element if the page has one.
 
-    An element that holds the article is a slot of the template and is read as it is.
-    Without one, link slots and text that belongs to the template go, unless that is most
-    of the page: a host full of copies of one page would otherwise have no text.
+    Text that belongs to the host's template goes, and so do slots that are mostly links, in an
+    article as well; enclosing elements and marked blocks that do not hold the article are out.
     """
     parsed = parse(page)
     blocks = [(i, t) for i, t in enumerate(parsed) if isinstance(t, Text) and not t.out]
-    inside = [t.text for _, t in blocks if t.inside]
-    if inside:
-        return " ".join(inside)
+    if any(t.inside for _, t in blocks):
+        blocks = [(i, t) for i, t in blocks if t.inside]
     if link_slots:
         at = slots([token_hash(t) for t in parsed], root)
         blocks = [(i, t) for i, t in blocks if at[i] not in link_slots]
-    own = [t.text for _, t in blocks if token_hash(t) not in constant]
-    every = [t.text for _, t in blocks]
-    return " ".join(own if 2 * sum(map(len, own)) >= sum(map(len, every)) else every)
+    return " ".join(t.text for _, t in blocks if token_hash(t) not in constant)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,16 +252,19 @@ def host_of(url: str):
 def templates(pages: DataFrame, least_pages: int, coverage: float) -> DataFrame:
     """Per host: ``_root`` tokens, ``_constant`` text of valid classes and ``_link_slots``.
 
-    ``pages`` has ``_page``, ``_host`` and ``_html``.
+    ``pages`` has ``_host`` and ``_html``. Pages with the same longest block are copies and count as one.
     """
-    counted = pages.mapInArrow(_occurrences, "_page long, _host string, _token long, _count long")
+    counted = pages.select("_host", "_html").mapInArrow(_occurrences, "_body long, _host string, _token long, _count long")
+    # copies of a page, exact or near, are one page here: what they share is not the host's
+    counted = counted.groupBy("_host", "_token", "_body").agg(F.max("_count").alias("_count"))
     vectors = counted.groupBy("_host", "_token").agg(
-        F.bit_xor(F.xxhash64("_page", "_count")).alias("_vector"),
+        F.bit_xor(F.xxhash64("_body", "_count")).alias("_vector"),
         F.count(F.lit(1)).alias("_pages"),
         F.sum("_count").alias("_sum"),
     )
-    hosts = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") >= least_pages)
-    wide = vectors.join(hosts, "_host").filter(F.col("_pages") >= coverage * F.col("_all"))
+    vectors = materialize(vectors.filter((F.col("_token") == 0) | (F.col("_pages") > 1)), "template-vectors")
+    hosts = vectors.filter("_token = 0").select("_host", F.col("_pages").alias("_all")).filter(F.col("_all") >= least_pages)
+    wide = vectors.filter("_token <> 0").join(hosts, "_host").filter(F.col("_pages") >= coverage * F.col("_all"))
     once = (F.col("_pages") == F.col("_all")) & (F.col("_sum") == F.col("_all"))
     wide = wide.withColumn("_class", F.when(once, 0).otherwise(F.xxhash64("_vector", "_pages", "_sum")))
     classes = materialize(wide.select("_host", "_token", "_class"), "template-classes")
@@ -281,18 +302,17 @@ def extract_text(
     White space inside a block becomes one space, blocks are joined in page order by one
     space, character references are decoded. A null or empty page has an empty text. A
     null url, or one without a host, belongs to the host "". Hosts with fewer than
-    ``least_pages`` pages have no template; there only the enclosing elements decide.
+    ``least_pages`` different pages have no template; there only the enclosing elements decide.
     Repeated rows and null ids are pages of their own. Other columns are not read. An empty
     table gives an empty result.
     """
     chosen = pages.select(
         F.col(id_col).alias("_id"),
         F.col(url_col).alias("_url"),
-        F.coalesce(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(0)).alias("_page"),
         host_of(url_col).alias("_host"),
         text_of(html_col).alias("_html"),
     )
-    template = templates(chosen.select("_page", "_host", "_html"), least_pages, coverage)
+    template = templates(chosen.select("_host", "_html"), least_pages, coverage)
     joined = chosen.join(template, "_host", "left").select("_id", "_url", "_html", "_constant", "_root", "_link_slots")
     kinds = ", ".join(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in (("_id", id_col), ("_url", url_col)))
     found = joined.mapInArrow(_extract, f"{kinds}, _text string")

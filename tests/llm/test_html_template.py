@@ -59,3 +59,52 @@ def test_copies_of_an_article_stay(spark):
     assert [r for r in got if r[0] is None] == [(None, None, "", 0)]
     assert len([r for r in got if r[2] == TEXT and r[3] == len(TEXT)]) == 6
     assert extract_text(table(spark, data).limit(0)).count() == 0
+
+
+def plain(page):
+    return main_text(page, set(), set(), set())
+
+
+def test_scripts_are_skipped_to_their_own_end():
+    assert plain("<p>a</p><script>for(var i=0;i<n;i++){x='</p>'}</script><p>b</p>") == "a b"
+    assert plain("<p>a</p><script>if (a<b) { <!-- }</script><p>b</p>") == "a b"
+    assert plain("<article><p>a</p><SCRIPT>'<article>' </scripted> <p>no</ScRiPt ><p>b</p></article>") == "a b"
+    assert plain("<title>x < y <p></title><style>a>b{}<p></style><p>b") == "b"
+
+
+def test_quoted_attributes_may_hold_any_sign():
+    assert plain("<p title=\"a > b\" class='x>y'>c</p><a title='1 > 0' href=x>d</a> e") == "c d e"
+    assert plain("<p title=it's>a</p><p alt=\"never closed>b</p>") == "a b"
+    assert plain('<div data-x="</article><p>">in</div>') == "in"
+
+
+def test_marks_of_blocks_and_compound_names():
+    page = "<article><p class=notice>We moved</p><p>One<p class='ad'>Buy<p>Two</p><div class='content side-by-side'>Three</div></article>"
+    assert plain(page) == "One Two Three"
+    assert plain("<article><div class='meta-text tags form'>kept</div></article>") == "kept"
+
+
+def test_template_of_a_host_goes_inside_articles_too(spark):
+    """Neutral names: a notice that all articles of a host hold and a menu outside go, what one page has stays."""
+
+    def page(i):
+        links = "".join(f"<a href='/{j}'>part {j}</a> " for j in range(5))
+        own = f"Own words {i} of page {i}, enough of them to be the longest block of the page by far"
+        only = "<p>Only here</p>" if i == 3 else ""
+        return f"<body><div class=a1>{links}</div><article class=b2><p>Read this first.</p><p>{own}</p>{only}<p>Seen on every page</p></article></body>"
+
+    data = [(i, f"http://n.example/{i}", page(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_text(table(spark, data)).collect()}
+    for i in range(9):
+        own = f"Own words {i} of page {i}, enough of them to be the longest block of the page by far"
+        assert got[i] == own + (" Only here" if i == 3 else "")
+
+
+def test_repeated_rows_and_near_copies_leave_templates_right(spark):
+    """An even number of copies of a row does not hide a token, and what near copies share is not the template."""
+    body = lambda i: f"<div><p>Frame</p><p>Text {i} is the one long paragraph of its own page here</p></div>"
+    data = [(i % 6, "http://r/", f"<body>{body(i % 6)}</body>") for i in range(12)]
+    copies = [(100 + i, "http://c/", f"<article><p>A long paragraph that all copies share word for word</p><p>v{i}</p></article>") for i in range(9)]
+    got = sorted((r["page_id"], r["text"]) for r in extract_text(table(spark, data + copies)).collect())
+    assert [t for i, t in got if i < 100] == [f"Text {i} is the one long paragraph of its own page here" for i in range(6) for _ in range(2)]
+    assert [t for i, t in got if i >= 100] == [f"A long paragraph that all copies share word for word v{i}" for i in range(9)]
