@@ -42,8 +42,8 @@ _OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 
 def side_for(distinct: int) -> int:
-    """Classes, and words per class: 32, 64 or 128, about 1.2 times the fourth root of the different words."""
-    return next((side for side in (32, 64) if 1.2 * distinct**0.25 <= 1.5 * side), 128)
+    """Classes, and words per class: 32, 64 or 128, at least half the fourth root of the number of different words."""
+    return next((side for side in (32, 64) if distinct**0.25 <= 2 * side), 128)
 
 
 def buckets_of(side: int) -> int:
