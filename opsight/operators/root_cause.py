@@ -503,8 +503,12 @@ def _real(text: str) -> Column:
     return F.coalesce(filled.isNotNull() & ~filled.startswith("["), F.lit(False))
 
 
-def run_summary(stages: dict[str, DataFrame], enriched: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One row: rows per stage, how much was enriched, a sample error, and the reasons as JSON."""
+def run_summary(rows: dict[str, int], enriched: DataFrame, reasons: DataFrame) -> DataFrame:
+    """One row: rows per stage, how much was enriched, a sample error, and the reasons as JSON.
+
+    ``rows`` are the counts of the stages, as they were seen when the stages were stored: no stage
+    runs again to be counted.
+    """
     real = _real("resolved_error") | _real("error")
     drilled = (F.col("depth") > 0) & _real("resolved_error")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
@@ -536,5 +540,5 @@ def run_summary(stages: dict[str, DataFrame], enriched: DataFrame, reasons: Data
     listed = reasons.agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("order"))).alias("x")
     )
-    counts = {f"{name}_rows": df.agg(F.count(F.lit(1))).scalar() for name, df in stages.items()}
+    counts = {f"{name}_rows": F.lit(n).cast("long") for name, n in rows.items()}
     return facts.withColumns({**counts, "code_failure_reason_breakdown": listed.scalar()})

@@ -9,7 +9,8 @@ from opsight.operators import root_cause as rc
 from opsight.plans import failures as pf
 from opsight.plans import expected as e
 from opsight.plans.common import Inputs, oracle, query
-from opsight.scratch import materialize
+from opsight.scratch import materialize, scratch_path
+from opsight.sources.sinks import store_counted
 
 
 def _tables(t: Inputs) -> rc.RunTables:
@@ -34,14 +35,17 @@ def _enriched(t: Inputs):
 
 def _summary(t: Inputs):
     runs, errors = pf._runs(t), pf._errors(t)
-    enriched = _enriched(t)
     stages = {
         "daily_matrix": f.daily_failure_matrix(runs),
         "exec_rollup": f.exec_rollup(runs),
         "exec_error_bands": f.failure_bands(errors),
         "selected_runs": _candidates(t),
+        "enriched": _enriched(t),
     }
-    summary = rc.run_summary(stages, enriched, rc.reason_rollup(rc.classify_reason(enriched)))
+    stored = {name: store_counted(df, scratch_path(t.spark, name)) for name, df in stages.items()}
+    enriched = stored.pop("enriched")[0]
+    rows = {name: n for name, (_, n) in stored.items()}
+    summary = rc.run_summary(rows, enriched, rc.reason_rollup(rc.classify_reason(enriched)))
     return summary.drop("sample_enriched_error", "code_failure_reason_breakdown")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from opsight.windows import ts_lit
 
@@ -34,3 +35,10 @@ def copy_table(df: DataFrame, path: str, partitions: Sequence[str] = (), refresh
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return True
+
+
+def store_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Write a result and count its rows in the same pass; gives the stored rows and their number."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("rows", 0)

@@ -120,3 +120,12 @@ def test_a_broken_fold_is_passed_over(spark, tmp_path, rows):
     (Path(broken) / "_SUCCESS").unlink()
     assert rows(store.read()) == wanted
     assert store.fold().endswith("fold=2") and rows(store.read()) == wanted
+
+
+def test_storing_counts_in_the_same_pass(spark, tmp_path):
+    from opsight.sources.sinks import store_counted
+
+    stored, n = store_counted(spark.range(1000).filter("id % 3 = 0").repartition(5), str(tmp_path / "a"))
+    assert n == stored.count() == 334
+    stored, n = store_counted(spark.range(10).limit(0), str(tmp_path / "b"))
+    assert n == stored.count() == 0
