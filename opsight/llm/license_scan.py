@@ -29,6 +29,22 @@ from pyspark.sql import functions as F
 from opsight.llm.wordhash import mix64
 
 # Notices of well-known licenses, as their publishers word them.
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} "
+    "as published by the Free Software Foundation, either version {1} of the License, or (at your option) any "
+    "later version."
+)
+_GNU_2 = (
+    "This {2} is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as "
+    "published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -43,25 +59,74 @@ TEMPLATES = {
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-        "or (at your option) any later version.",
+        _GNU.format("General Public License", "3"),
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        _GNU_2.format("General Public License", "2", "program"),
     ],
+    "AGPL-3.0": [_GNU.format("Affero General Public License", "3")],
+    "LGPL-3.0": [_GNU.format("Lesser General Public License", "3")],
+    "LGPL-2.1": [_GNU_2.format("Lesser General Public License", "2.1", "library")],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-4.0": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
     "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
+        _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "BSD-2-Clause": [_BSD],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ],
+    "MPL-1.1": [
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may "
+        "not use this file except in compliance with the License.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ],
+}
+# What tells licenses of like wording apart. Of each row of alternatives one has to stand in or
+# right beside the matched text; none of the others may.
+_NOT_GNU, _NOT_CC = ["affero", "lesser", "library general"], ["sharealike", "noderivatives", "noderivs", "sa", "nd"]
+TELLING = {
+    "Apache-2.0": ([["apache"], ["2 0"]], []),
+    "MIT": ([["mit", "permission is hereby granted free of charge"]], []),
+    "GPL-3.0": ([["gnu"], ["version 3", "v3"]], _NOT_GNU),
+    "GPL-2.0": ([["gnu"], ["version 2", "v2"]], [*_NOT_GNU, "version 2 1"]),
+    "AGPL-3.0": ([["affero"], ["version 3"]], []),
+    "LGPL-3.0": ([["lesser"], ["version 3"]], []),
+    "LGPL-2.1": ([["lesser"], ["version 2 1"]], []),
+    "CC-BY-NC-4.0": ([["4 0"], ["nc", "noncommercial"], ["by", "attribution"]], _NOT_CC),
+    "CC-BY-4.0": ([["4 0"], ["by", "attribution"]], [*_NOT_CC, "nc", "noncommercial"]),
+    "CC-BY-SA-4.0": ([["4 0"], ["sa", "sharealike"]], ["nc", "noncommercial", "nd", "noderivatives"]),
+    "BSD-3-Clause": ([["neither the name"]], []),
+    "MPL-2.0": ([["mozilla"], ["2 0"]], []),
+    "MPL-1.1": ([["mozilla"], ["1 1"]], []),
+    "EPL-2.0": ([["eclipse public"], ["2 0"]], []),
 }
+BESIDE = 2
 
 _TOKEN = re.compile(r"[^\W_]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -150,6 +215,13 @@ def align(
     return best, -first, last
 
 
+def told(license: str, words: list[str]) -> bool:
+    """Whether the matched words name this license and no other of like wording."""
+    needs, never = TELLING.get(license, ([], []))
+    line = " " + " ".join(words) + " "
+    return all(any(f" {x} " in line for x in row) for row in needs) and not any(f" {x} " in line for x in never)
+
+
 def scan(text: str, index: Index, band: int, least: float) -> list[tuple[str, int, int, int, float, int, int]]:
     """license, template, template tokens, matched tokens, coverage, first and end code point of each match."""
     words, places = tokens_of(text)
@@ -167,6 +239,8 @@ def scan(text: str, index: Index, band: int, least: float) -> list[tuple[str, in
     for template, of in hits.items():
         t = index.templates[template]
         for matched, first, end in _matches(t.tokens, seq, of, band, least):
+            if not told(t.license, words[max(0, first - BESIDE) : end + 1 + BESIDE]):
+                continue
             coverage = matched / len(t.tokens)
             found.append((t.license, t.number, len(t.tokens), matched, coverage, places[first][0], places[end][1]))
     return _best(found)
@@ -247,7 +321,8 @@ def license_scan(
     ``span_end`` (code points of the text, the end exclusive).
 
     A template is found wherever at least ``least_coverage`` of its tokens are aligned; a
-    text may hold several, also of one license. Matches that overlap count once: most
+    text may hold several, also of one license. Licenses of like wording are told apart by words
+    that must or must not stand in a match (``TELLING``). Matches that overlap count once: most
     matched tokens, then coverage, then place decide. Null and empty texts give no row,
     whole texts of any length are read. Repeated rows and null ids are documents of their
     own. Other columns are not read. Templates of fewer than ``gram`` tokens are never

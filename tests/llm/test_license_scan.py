@@ -86,3 +86,24 @@ def test_adjacent_copies_against_brute_force():
                     want = [(name, number, places[i][0], places[i + len(words) - 1][1]) for i in at]
                     assert len(want) == copies
                     assert [(*m[:2], *m[5:]) for m in scan(page, index, 8, 0.8)] == want
+
+
+def names(text):
+    return [m[0] for m in scan("some text before " + text + " and some after", Index(TEMPLATES, 3, 2), 8, 0.8)]
+
+
+def test_licenses_of_like_wording_get_their_own_name_or_none():
+    gpl = TEMPLATES["GPL-3.0"][1]
+    agpl = gpl.replace("GNU General", "GNU Affero General")
+    assert names(gpl) == ["GPL-3.0"] and names(agpl) == ["AGPL-3.0"]
+    assert names(gpl.replace("version 3", "version 2")) == ["GPL-2.0"]
+    assert names(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0"]
+    cc = TEMPLATES["CC-BY-4.0"][1]
+    assert names(cc) == ["CC-BY-4.0"] and names(cc.replace("Attribution", "Attribution-ShareAlike")) == ["CC-BY-SA-4.0"]
+    assert names(cc.replace("Attribution", "Attribution-NonCommercial-NoDerivatives")) == []
+    assert names("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"] and names("Licensed under CC BY-NC 3.0.") == []
+    two = TEMPLATES["BSD-2-Clause"][0]
+    assert names(two) == ["BSD-2-Clause"] and names(TEMPLATES["BSD-3-Clause"][0]) == ["BSD-3-Clause"]
+    assert names(TEMPLATES["MPL-1.1"][0]) == ["MPL-1.1"]
+    assert names("Licensed under the Eclipse License, Version 2.0.") == []
+    assert names("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.0.") == []
