@@ -197,7 +197,8 @@ def ordered(threads: DataFrame) -> DataFrame:
 def as_mail(conversations: DataFrame) -> DataFrame:
     """Turns as mails: each turn's text followed by the two turns before it, quoted by level.
 
-    Turns are looked up by number, so a long conversation is not one group.
+    Turns are looked up by number, so a long conversation is not one group. A turn without a role is quoted
+    as someone's; one without a text is not quoted.
     """
     turns = conversations.select("conv_id", "turn", "role", "text")
     mails = turns
@@ -210,9 +211,12 @@ def as_mail(conversations: DataFrame) -> DataFrame:
     def quoted(text, marks: str):
         return F.concat(F.lit(marks), F.regexp_replace(text, "\n", "\n" + marks))
 
+    def who(role):
+        return F.coalesce(role, F.lit("someone"))
+
     first, second = F.col("_before_1"), F.col("_before_2")
-    introduction = F.concat(F.lit("\n\nOn turn "), F.col("turn") - 1, F.lit(", "), first["role"], F.lit(" wrote:\n"))
-    deeper = F.concat(F.lit("\n> On turn "), F.col("turn") - 2, F.lit(", "), second["role"], F.lit(" wrote:\n"))
+    introduction = F.concat(F.lit("\n\nOn turn "), F.col("turn") - 1, F.lit(", "), who(first["role"]), F.lit(" wrote:\n"))
+    deeper = F.concat(F.lit("\n> On turn "), F.col("turn") - 2, F.lit(", "), who(second["role"]), F.lit(" wrote:\n"))
     body = F.concat(
         F.coalesce("text", F.lit("")),
         F.coalesce(F.concat(introduction, quoted(first["text"], "> ")), F.lit("")),

@@ -83,3 +83,9 @@ def test_quality_verdicts_stay_with_their_rows(spark):
         left = pipeline.quality_stage(spark, renamed, FOLDER).collect()
         assert len(good) < len(every)
         assert sorted((r["text"], r["lang"]) for r in left) == sorted((r["text"], r["lang"]) for r in good)
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

@@ -76,3 +76,15 @@ def test_mails_of_conversations_are_linked_back(spark):
         assert row["parent"] == (before if texts.get(before) else None)
         assert row["text"] == (texts[key] or "")
     assert reply_threads(as_mail(table(spark, []))).count() == 0
+
+
+def test_turns_without_a_role_are_quoted_too(spark):
+    rows = [(1, 0, None, "What nobody said first"), (1, 1, "user", "An answer to that"), (1, 2, None, "And one more")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["message"]: (r["parent"], r["text"]) for r in reply_threads(as_mail(turns)).collect()}
+    assert got == {"1:0": (None, rows[0][3]), "1:1": ("1:0", rows[1][3]), "1:2": ("1:1", rows[2][3])}
+
+
+def test_empty_tables(spark):
+    assert reply_threads(table(spark, [])).count() == 0
+    assert ordered(reply_threads(table(spark, []))).count() == 0
