@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsight import sql
 from opsight.operators import rollups, sketches
 from opsight.operators import utilization as u
 from opsight.plans import utilization as pu
 from opsight.plans.common import AS_OF, Inputs, oracle, query, round_raw
+from opsight.plans import cost as pc
+from opsight.plans import failures as pf
 from opsight.plans.cost import history, usage
 from opsight.scratch import scratch_path
 from opsight.sources.day_tables import DayTable
@@ -54,7 +57,33 @@ def _sketched(t: Inputs):
     return found.select("cluster_id", "n").join(sketches.rank_within(facts, found, ["cluster_id"], checks, ERROR), "cluster_id")
 
 
+def _tables(t: Inputs) -> dict:
+    return {
+        "job_run_periods": t.logical("fx_job_periods"),
+        "workspaces": t.logical("fx_workspaces"),
+        "query_history": history(t),
+        "usage": usage(t),
+        "prices": pc.prices(t),
+        "warehouses": pc.warehouses(t),
+    }
+
+
+def _sql_matrix(t: Inputs):
+    text = """select workspace_name, failure_category, sum(runs) as runs from {failure_matrix}
+where runs >= :least group by workspace_name, failure_category"""
+    return sql.run(t.spark, _tables(t), text, as_of=t.as_of(), lookback_days=pf.DAYS, workspace_id="2", least=2)
+
+
+def _sql_cost(t: Inputs):
+    text = """select warehouse_id, est_tagged_cost_usd, tagged_pct_of_wh_cost from {cost_summary}
+where array_contains(:warehouses, warehouse_id)"""
+    values = {"as_of": t.as_of(), "lookback_days": pc.DAYS, "space_ids": "space_0,space_2", "warehouses": ["wh_1", "wh_2", "it's"]}
+    return sql.run(t.spark, _tables(t), text, **values)
+
+
 QUERIES = {
+    "sql_failure_matrix": query(_sql_matrix),
+    "sql_cost_summary": query(_sql_cost),
     "rollup_refreshed": query(lambda t: _rollups(t).warehouse_hours().withColumn("dbus", F.col("dbus").cast("double"))),
     "rollup_refreshed_users": query(lambda t: _rollups(t).user_hours()),
     "utilization_by_day": query(_by_day),
@@ -62,6 +91,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sql_failure_matrix": f"""select workspace_name, failure_category, cast(sum(runs) as bigint) as runs
+from ({pf.ORACLE['daily_failure_matrix_named']}) q where runs >= 2 and workspace_id = '2' group by all""",
+    "sql_cost_summary": f"""select warehouse_id, est_tagged_cost_usd, tagged_pct_of_wh_cost
+from ({pc.ORACLE['warehouse_summary']}) q where warehouse_id in ('wh_1', 'wh_2')""",
     "rollup_refreshed": oracle(
         "fx_query_history fx_usage",
         """seen as (select distinct warehouse_id from fx_query_history where space_id is not null and warehouse_id is not null),
