@@ -31,7 +31,7 @@ def test_query(spark, name):
 def test_all_are_registered():
     names = set(entrypoint.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_stages_one_by_one(spark):
