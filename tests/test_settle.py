@@ -1,8 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from opsight.streaming.settle import settle_stream, settled
+from opsight.streaming.settle import of_reports, report_events, report_sets, set_tables, settle_stream, settled
 
 SCHEMA = "report_id string, observed_ts timestamp"
 START = datetime(2024, 1, 1, 10)
@@ -85,3 +86,32 @@ def test_rows_without_time_or_report_are_left_out(spark, tmp_path):
     settle_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
     assert [(r["report_id"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 1)]
     assert settled(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))).columns[0] == "report_id"
+
+
+def test_reports_with_the_same_tables_share_one_state(spark, tmp_path):
+    needs = [(f"r{i}", t) for i in range(40) for t in (("A", "b") if i % 2 else ("b",))] + [("r1", "a"), ("other", "z"), (None, "a"), ("none", None)]
+    needs = spark.createDataFrame(needs, "report_id string, source_table string")
+    events = [(0, '["a"]'), (10, '["B", "a"]'), (95, '["b"]'), (99, '["q"]'), (300, '["a", "a"]'), (10**4, '["z"]')]
+    rows = spark.createDataFrame([(at(t), names) for t, names in events], "observed_ts timestamp, updated_tables string")
+    rows.write.parquet(str(tmp_path / "in"))
+    sets = report_sets(needs)
+    assert report_events(rows, set_tables(sets)).count() == 4 + 2 + 1 + 1  # 40 reports, two sets and one more
+    for name, asked in (("shared", set_tables(sets)), ("single", needs)):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        settle_stream(report_events(stream, asked), str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"))
+    got = of_reports(spark.read.parquet(str(tmp_path / "shared")), sets)
+    want = spark.read.parquet(str(tmp_path / "single"))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 20 * 2 + 20  # odd reports settle at 185 and 390 s, even ones at 185 s
+
+
+@pytest.mark.parametrize("settle, interval", [(90, 60), (10, 60), (0, 5), (7, 0)])
+def test_runs_are_folded_as_single_events_are(spark, tmp_path, settle, interval):
+    rng = random.Random(settle)
+    events = sorted((("ab"[rng.random() < 0.3], rng.randint(0, 900)) for _ in range(150)), key=lambda e: e[1]) + [("end", 10**5)]
+    stream = Stream(spark, tmp_path, settle_seconds=settle, interval_seconds=interval)
+    stream.drop(events[:70])
+    stream.drop([e for e in events if e[1] > events[69][1]])
+    kept = events[:70] + [e for e in events if e[1] > events[69][1]]
+    assert stream.decisions() == plain(kept, settle, interval)
