@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.functions.columns import pct, settled, text_or, trunc_ts
-from opsight.functions.relational import interval_join, latest_by
+from opsight.functions.relational import interval_join, latest_by, null_safe_join
 from opsight.functions.rules import by_value, fired, first_match
 from opsight.windows import Lookback, ts_lit
 
@@ -40,10 +40,13 @@ def _approx(col: str, p: float) -> Column:
 
 
 def cluster_stats(raw: DataFrame) -> DataFrame:
-    """Statistics over node samples; an idle sample has less than 10 % CPU."""
+    """Statistics over node samples; an idle sample has less than 10 % CPU.
+
+    Instances are counted apart: in one aggregation with the percentiles, every instance would carry sketches.
+    """
     cpu, mem = "cpu_active_percent", "mem_used_percent"
-    return raw.groupBy("cluster_id").agg(
-        F.countDistinct("instance_id").alias("distinct_nodes_seen"),
+    nodes = raw.groupBy("cluster_id").agg(F.countDistinct("instance_id").alias("distinct_nodes_seen"))
+    stats = raw.groupBy("cluster_id").agg(
         F.avg(cpu).alias("avg_cpu_percent"),
         _approx(cpu, 0.50).alias("p50_cpu_percent"),
         _approx(cpu, 0.95).alias("p95_cpu_percent"),
@@ -56,6 +59,7 @@ def cluster_stats(raw: DataFrame) -> DataFrame:
         F.count_if(F.col(cpu) < 10).alias("idle_minute_samples"),
         F.count(F.lit(1)).alias("total_minute_samples"),
     )
+    return null_safe_join(nodes, stats, ["cluster_id"])
 
 
 def scaling_stats(raw: DataFrame) -> DataFrame:
