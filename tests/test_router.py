@@ -111,3 +111,24 @@ def test_refresh_list_carries_the_payload(spark):
     assert [(x.run_id, x.report_id, x.triggering_tables) for x in got] == [(7, "r1", '["a.b.c", "z\\"q"]')]
     matched = r.match_reports(mapping, r.parse_updates(payloads)).collect()
     assert [(x.report_id, x.refresh) for x in matched] == [("r1", True)]
+
+
+def test_rows_of_one_table_are_made_by_several_tasks(spark):
+    mapping = spark.createDataFrame(
+        [(f"r{i}", None if i % 9 == 0 else "same", "A.B.C" if i < 200 else None, True) for i in range(210)],
+        "report_id string, report_name string, source_table string, enabled boolean",
+    )
+    payloads = spark.createDataFrame([(i, '["a.b.C", "x"]') for i in range(50)], "run_id long, updated_tables string")
+    limits = {f"spark.sql.{n}autoBroadcastJoinThreshold": "-1" for n in ("", "adaptive.")}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        for got in (r.refresh_list(mapping, payloads), r.refresh_list_named(mapping, payloads)):
+            sizes = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 200 * 50 and len(sizes) == 4 and max(sizes) < 6000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.columns == ["report_id", "report_name", "run_id", "triggering_tables", "catalog", "schema", "table"]
+    assert {tuple(x)[3:] for x in got.collect()} == {('["a.b.c", "x"]', "A", "B", "C")}
