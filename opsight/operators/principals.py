@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsight.functions.relational import hot_key_join
+
 UNNAMED = "Unnamed service principal"
 
 
@@ -59,7 +61,8 @@ def translate_members(
     ``primary`` also ``members(group_id, position, value, ref)``, one row per member. The
     kind of a member is told by its reference or else by the id list it is in, users
     first, then service principals, then groups. Groups still to be created stand in as
-    ``created`` + name. Members stay rows: a group may hold any share of them.
+    ``created`` + name. Members stay rows: a group may hold any share of them,
+    so they meet its name and place in one join, in which large groups are dealt to several tasks.
     """
     groups = primary["groups"].filter("display_name is not null and display_name <> ''")
     fresh = groups_to_create(groups, replica["groups"]).select(
@@ -69,25 +72,23 @@ def translate_members(
     users = _by_name(primary["users"], replica["users"], "user_name", "user")
     spns = _by_name(primary["service_principals"], replica["service_principals"], "application_id", "spn")
     nested = _by_name(primary["groups"].select("id", "display_name"), target_groups, "display_name", "group")
-    members = (
-        primary["members"]
-        .filter("value is not null and value <> ''")
-        .join(groups.select(F.col("id").alias("group_id"), "display_name"), "group_id")
-        .select("display_name", "position", "value", F.coalesce("ref", F.lit("")).alias("ref"))
-    )
+    targets = target_groups.groupBy("display_name").agg(F.max("id").alias("target"))
+    places = groups.select(F.col("id").alias("group_id"), "display_name").join(targets, "display_name")
+    listed = primary["members"].filter("value is not null and value <> ''")
+    members = hot_key_join(
+        listed.select("group_id", "position", "value", F.coalesce("ref", F.lit("")).alias("ref")), places, "group_id"
+    ).drop("group_id")
     ref = F.col("ref")
     resolved = (
         F.when(ref.startswith("Users/") | F.col("is_user"), F.col("user"))
         .when(ref.startswith("ServicePrincipals/") | F.col("is_spn"), F.col("spn"))
         .when(ref.startswith("Groups/") | F.col("is_group"), F.col("group"))
     )
-    targets = target_groups.groupBy("display_name").agg(F.max("id").alias("group_id"))
     return (
         members.join(users, "value", "left")
         .join(spns, "value", "left")
         .join(nested, "value", "left")
         .withColumn("member_id", resolved)
         .filter("member_id is not null")
-        .join(targets, "display_name")
-        .select("display_name", "group_id", "position", "member_id")
+        .select("display_name", F.col("target").alias("group_id"), "position", "member_id")
     )

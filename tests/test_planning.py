@@ -246,3 +246,17 @@ def test_view_circles_and_what_waits_for_them(spark):
         "e": ("FAILED", "e", None), "f": ("OK", None, None), "g": ("OK", None, None), "h": ("FAILED", None, "a"), "i": ("OK", None, None),
     }
     assert g.view_circles(names.limit(0), df.limit(0)).count() == 0
+
+
+def test_members_of_a_large_group_are_dealt_out(spark):
+    users = spark.createDataFrame([(f"u{i}", f"n{i}") for i in range(50)], "id string, user_name string")
+    spns = spark.createDataFrame([], "id string, application_id string")
+    groups = spark.createDataFrame([(f"g{i}", f"group {i}") for i in range(100)], "id string, display_name string")
+    members = spark.createDataFrame(
+        [("g1" if i % 2 else f"g{i % 100}", i, f"u{i % 50}", None) for i in range(1000)], "group_id string, position int, value string, ref string"
+    )
+    replica = {"users": users, "service_principals": spns, "groups": groups}
+    got = p.translate_members({**replica, "members": members}, replica)
+    assert got.groupBy("group_id").count().filter("group_id = 'g1'").first()["count"] == 500 and got.count() == 1000
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "group_id" in x]
+    assert joins and all("_deal" in x for x in joins)

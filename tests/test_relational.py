@@ -11,9 +11,11 @@ from opsight.functions.columns import settled
 from opsight.functions.relational import (
     as_of_join,
     exact_percentiles,
+    hot_key_join,
     interval_join,
     latest_by,
     share_of_total,
+    spread_join,
     validity_intervals,
 )
 
@@ -139,3 +141,26 @@ def test_rounding_is_one_rounding(spark):
     df = spark.createDataFrame([(2.44999996, 0.1 + 0.2), (2.45, 2.675)], "a double, b double")
     got = df.select(settled("a", 1), settled("b", 2)).collect()
     assert [tuple(r) for r in got] == [(2.4, 0.3), (2.5, 2.68)]
+
+
+@pytest.mark.parametrize("join", [spread_join, hot_key_join])
+@pytest.mark.parametrize("deals", [1, 3, 64])
+def test_dealt_joins_give_the_rows_of_a_plain_one(spark, rows, join, deals):
+    left = spark.createDataFrame([(None if i % 10 == 0 else i % 7 * (i % 3), i // 2) for i in range(300)] + [(99, None)], "k int, v int")
+    right = spark.createDataFrame([(i % 9 if i % 11 else None, f"t{i // 2}") for i in range(40)], "k int, t string")
+    want = left.join(right, "k")
+    got = join(left, right, "k", deals)
+    assert got.columns == want.columns and rows(got) == rows(want)
+    assert rows(join(left.limit(0), right, "k", deals)) == [] == rows(join(left, right.limit(0), "k", deals))
+
+
+def test_a_hot_key_is_dealt_out(spark):
+    facts = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(4000)], "k int, v int")
+    dims = spark.createDataFrame([(i, str(i)) for i in range(4000)], "k int, t string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = hot_key_join(facts, dims.hint("merge"), "k").withColumn("p", F.spark_partition_id())
+        sizes = [x["count"] for x in got.filter("k = 1").groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 2000 and len(sizes) == 4
