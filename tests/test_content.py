@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from opsight.operators.content import differences, differing_ranges, key_bounds
+from opsight.operators.content import Difference, differences, differing_ranges, key_bounds
 
 SCHEMA = "k long, v string, x double"
 
@@ -70,3 +70,15 @@ def test_text_keys_and_other_columns(spark):
     assert found(differences(a, b, "id")) == [("k077", "changed", 1, 1)]
     with pytest.raises(ValueError):
         differences(a, b.withColumnRenamed("left", "right"), "id")
+
+
+def test_ranges_side_by_side_are_one_span(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.createDataFrame([(i,) for i in range(100)] + [(None,)], "k long")
+    bounds = list(range(10, 100, 10))
+    within = lambda leaves: keys.filter(Difference(leaves, 0, bounds).within(F.col("k")))
+    assert sorted(r.k for r in within([1, 2, 5, 9]).collect()) == [*range(10, 30), *range(50, 60), *range(90, 100)]
+    assert within([0]).count() == 11 and within(list(range(10))).count() == 101 and within([]).count() == 0
+    plan = within([1, 2, 3, 4])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">=") == 1 and plan.count("< ") == 1
