@@ -2,10 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from opsight.operators import router as r
+from opsight.plans import sinks
+from tools.compare import rows as shown
 
 T0 = datetime(2024, 1, 1)
 CONFIG = "report_id string, report_name string, refresh_mode string, dependency_window_minutes int, enabled boolean"
@@ -132,3 +135,47 @@ def test_rows_of_one_table_are_made_by_several_tasks(spark):
             spark.conf.set(k, v)
     assert got.columns == ["report_id", "report_name", "run_id", "triggering_tables", "catalog", "schema", "table"]
     assert {tuple(x)[3:] for x in got.collect()} == {('["a.b.c", "x"]', "A", "B", "C")}
+
+
+def test_stored_audit_keeps_every_payload(spark, tmp_path):
+    """Payloads of one hour stay apart, also those of one run; a list is kept in its order, with what it repeats."""
+    events = [(7, 5, 8), (7, 6, 7), (37, 40, 1), (50, 41, 7), (67, 70, 1), (67, 70, 1)]
+    tables = {
+        "events": spark.createDataFrame(
+            [(i, T0 + timedelta(minutes=m), u) for i, m, u in events], "event_id long, ts timestamp_ntz, user_id long"
+        ),
+        "supplier": spark.createDataFrame([(1, "one"), (18, "off")], "s_suppkey long, s_name string"),
+        "lineitem": spark.createDataFrame([(1, 0), (1, 1), (1, 4), (18, 1)], "l_suppkey long, l_partkey long"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sinks.QUERIES["stored_audit"](spark, str(tmp_path))
+    t1, t7, t8 = ('"cat.sch.t1"', '"cat.sch.t7"', '"cat.sch.t8"')
+    assert sorted((x.run_id, x.report_id, x.triggering_tables) for x in got.collect()) == [
+        (7, "r1", f"[{t7}, {t7}]"),
+        (7, "r1", f"[{t8}, {t7}]"),
+        (7, "r1", f"[{t8}, {t7}]"),
+        (37, "r1", f"[{t1}, {t7}]"),
+        (67, "r1", f"[{t1}, {t7}]"),
+        (67, "r1", f"[{t1}, {t7}]"),
+    ]
+    result = con.execute(sinks.ORACLE["stored_audit"])
+    columns = [d[0] for d in result.description]
+    assert shown(got.columns, [tuple(x) for x in got.collect()]) == shown(columns, result.fetchall())
+
+
+def test_many_payloads_give_the_same_rows(spark, rows):
+    mapping = spark.createDataFrame(
+        [(f"r{i % 40}", None, f"A.b.{'cD'[i % 2]}", i % 9 != 0) for i in range(90)] + [("r1", "one", None, True)],
+        "report_id string, report_name string, source_table string, enabled boolean",
+    )
+    payloads = spark.createDataFrame(
+        [(None if i % 7 == 0 else i // 2, '["a.b.C", "a.b.c", "x"]' if i % 3 else '["a.b.d", " A.B.C "]') for i in range(60)]
+        + [(1, None), (2, "[broken")],
+        "run_id long, updated_tables string",
+    )
+    few, many = r.refresh_list(mapping, payloads), r.refresh_list(mapping, payloads, many=True)
+    assert many.columns == few.columns and rows(many) == rows(few)
+    assert many.select(F.spark_partition_id()).distinct().count() > 1
